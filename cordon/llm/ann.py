@@ -6,7 +6,8 @@ k-means lists, fitted on a bounded sample (`sample`, default 16,384 vectors with
 holds every vector. The number of lists probed is chosen on the sample, so that `recall` of its own
 nearest pairs is found there. A list is stored in cells of at most `cell` vectors, in column blocks; a query
 scans the blocks of a cell one after the other, and after each a hypothesis test on the partial
-distance abandons candidates that are unlikely to come near enough. Survivors are scored exactly on the original vectors.
+distance abandons candidates that are unlikely to come near enough: within the distance of the k-th of the
+sample, or of those in the cell that look nearest. Survivors are scored exactly on the original vectors.
 
 Equal vectors are searched for once: of a group, only the k + 1 smallest ids can be in a result, and
 all of its queries have one answer. So a vector with very many copies costs no more than another.
@@ -38,14 +39,14 @@ class Index:
         rng = np.random.default_rng(seed)
         self.dims, self.longest = sample.shape[1], longest
         self.rotation = np.linalg.qr(rng.standard_normal((self.dims + 1, self.dims + 1)))[0]
-        x = self.rotated(sample)
+        self.sample = x = self.rotated(sample)
         self.centres = c = x[rng.permutation(len(x))[: min(lists, len(x))]].copy()
         for _ in range(10):
             own = self.near(x, c, 1)[:, 0]
             order = np.argsort(own, kind="stable")
             starts = np.flatnonzero(np.diff(own[order], prepend=-1))
             c[own[order][starts]] = np.add.reduceat(x[order], starts) / np.diff([*starts, len(x)])[:, None]
-        self.centres = c
+        self.centres, self.home = c, self.near(x, c, 1)[:, 0]
         self.probes = self._probes(x, k, recall, rng)
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
@@ -56,6 +57,18 @@ class Index:
     def query(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.zeros((len(x), 1))], 1) @ self.rotation
 
+    def limit(self, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """For each query, a distance within which the sample has 2 k vectors in the lists that it probes, so that k are found though a test errs."""
+        if len(self.sample) < 2 * k:
+            return np.full(len(q), np.inf)
+        out, turned, own = [], self.query(q), (self.sample**2).sum(1)
+        for a in range(0, len(q), 256):
+            d = own + (turned[a : a + 256] ** 2).sum(1)[:, None] - 2 * turned[a : a + 256] @ self.sample.T
+            seen = np.zeros((len(d), len(self.centres)), bool)
+            np.put_along_axis(seen, probed[a : a + 256], True, 1)
+            out.append(np.partition(np.where(seen[:, self.home], d, np.inf), 2 * k - 1, 1)[:, 2 * k - 1])
+        return np.concatenate(out) + 1e-9 * (self.longest**2 + 1e-300)
+
     @staticmethod
     def near(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
         """Each row's n nearest centres, nearest first."""
@@ -82,32 +95,30 @@ def _clean(v: Column, dims: int) -> Column:
     return v.isNotNull() & (F.size(v) == dims) & F.forall(v, good) & F.exists(v, lambda x: x != 0)
 
 
-def scan(cell: np.ndarray, queries: np.ndarray, k: int, block: int = 16) -> list[np.ndarray]:
-    """For each query, the cell's candidates that may be among the k nearest (cell: dimensions x vectors).
+def scan(x: np.ndarray, queries: np.ndarray, limit: np.ndarray, k: int, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that may be among a query's k nearest of the cell and within its limit.
 
-    Column blocks are read one after the other; of candidates with a partial distance over d of D
-    dimensions, those are abandoned whose estimate exceeds the threshold by more than chance allows.
+    Column blocks are read one after the other, for all queries at once; of pairs with a partial
+    distance over d of D dimensions, those are abandoned whose estimate exceeds the limit by more
+    than chance allows. The limit falls to the distance of the k-th of those that look nearest at first.
     """
-    dims, n = cell.shape
-    out = []
-    for q in queries:
-        if n <= k:
-            out.append(np.arange(n))
-            continue
-        at, part, limit = np.arange(n), np.zeros(n), np.inf
-        for a in range(0, dims, block):
-            b = min(dims, a + block)
-            rows = cell[a:b] if len(at) == n else cell[a:b, at]
-            part = part + ((rows - q[a:b, None]) ** 2).sum(0)
-            if b == dims or len(at) <= k:
-                continue
-            if limit == np.inf:  # the distances of the k that look nearest bound the k-th
-                first = at[np.argpartition(part, k - 1)[:k]]
-                limit = ((cell[:, first] - q[:, None]) ** 2).sum(0).max() * (1 + 1e-9)
-            keep = part * (dims / b) <= limit * (1 + EPSILON / np.sqrt(b)) ** 2
-            at, part = at[keep], part[keep]
-        out.append(at)
-    return out
+    n, dims = x.shape
+    cuts = [(a, min(dims, a + block)) for a in range(0, dims, block)]
+    columns = [(np.ascontiguousarray(x[:, a:b]), np.ascontiguousarray(queries[:, a:b]), b) for a, b in cuts]
+    (xb, qb, b), *rest = columns
+    part = (xb**2).sum(1) + (qb**2).sum(1)[:, None] - 2 * qb @ xb.T
+    slack = 1 + 1e-9
+    if n > k:
+        first = np.argpartition(part, k - 1, 1)[:, :k]
+        limit = np.minimum(limit, ((x[first] - queries[:, None, :]) ** 2).sum(2).max(1) * slack)
+    q, v = np.nonzero(part * (dims / b) <= (limit * (1 + EPSILON / np.sqrt(b)) ** 2)[:, None])
+    part = part[q, v]
+    for xb, qb, b in rest:
+        part = part + ((xb[v] - qb[q]) ** 2).sum(1)
+        wide = slack if b == dims else (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2
+        keep = part <= limit[q] * wide
+        q, v, part = q[keep], v[keep], part[keep]
+    return q, v
 
 
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_: str = "vec_id", vector: str = "embedding", lists: int | None = None, recall: float = 0.985, sample: int = 16_384, cell: int = 4096) -> DataFrame:
@@ -129,7 +140,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_: str = "vec
     groups = kept.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "vector-groups")
     drawn = np.array([r["v"] for r in groups.orderBy(F.xxhash64("h1"), "h1", "h2").limit(sample).select("v").collect()])
-    index = Index(drawn, float(np.sqrt(longest)), lists or int(min(4096, max(1, np.sqrt(total)))), k, recall)
+    index = Index(drawn, float(np.sqrt(longest)), lists or int(min(4096, max(1, np.sqrt(total) / 4))), k, recall)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,29 +158,35 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_: str = "vec
             if len(f):
                 q = np.stack(f["v"].to_numpy())
                 own = shared.value.near(shared.value.query(q), shared.value.centres, min(shared.value.probes, len(shared.value.centres)))
-                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), own.shape[1]), "v": np.repeat(f["v"].to_numpy(), own.shape[1]), "list": own.ravel().astype(np.int32)})
+                m = own.shape[1]
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), m), "v": np.repeat(f["v"].to_numpy(), m), "limit": np.repeat(shared.value.limit(q, own, k + 1), m), "list": own.ravel().astype(np.int32)})
 
     asked = rows.where(F.col("id") % every == 0).select("id", "h1", "h2")
     wanted = asked.select("h1", "h2").distinct().join(groups.select(F.col("g").alias("q"), "h1", "h2", "v"), ["h1", "h2"])
-    probes = wanted.select("q", "v").mapInPandas(probe, "q long, v array<double>, list int").join(sizes, "list").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    probes = wanted.select("q", "v").mapInPandas(probe, "q long, v array<double>, limit double, list int").join(sizes, "list").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
 
     def search(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        form = {"q": np.int64, "vec_id": np.int64, "score": np.float64}
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({c: np.zeros(0, t) for c, t in form.items()})
-        index, x, q = shared.value, np.stack(candidates["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-        ids, parts = candidates["ids"].to_numpy(), []
-        for name, v, at in zip(queries["q"].to_numpy(), q, scan(np.ascontiguousarray(index.rotated(x).T), index.query(q), k + 1)):
-            score = (x[at] * v).sum(1)
-            order = np.argsort(-score, kind="stable")[: k + 1 if len(at) > k + 1 else None]
-            edge = np.flatnonzero(score >= score[order[-1]])  # ties at the edge stay
-            got = np.concatenate([ids[at[i]] for i in edge])
-            s = np.repeat(score[edge], [len(ids[at[i]]) for i in edge])
-            best = np.lexsort((got, -s))[: k + 1]
-            parts.append(pd.DataFrame({"q": name, "vec_id": got[best], "score": s[best]}))
-        return pd.concat(parts)
-
-    found = cells.select("list", "cell", "v", "ids").groupBy("list", "cell").cogroup(probes.select("list", "cell", "q", "v").groupBy("list", "cell")).applyInPandas(search, "q long, vec_id long, score double")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(candidates) and len(queries):
+            index, x, q = shared.value, np.stack(candidates["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+            names, limit, turned, asked = queries["q"].to_numpy(), queries["limit"].to_numpy(), index.rotated(x), index.query(q)
+            lens = candidates["ids"].map(len).to_numpy()
+            ids, begin = np.concatenate(candidates["ids"].to_numpy()), np.cumsum(lens) - lens
+            step = max(1, min(512, (1 << 21) // len(x)))
+            for a in range(0, len(q), step):
+                at, v = scan(turned, asked[a : a + step], limit[a : a + step], k + 1)
+                score = (x[v] * q[a + at]).sum(1)
+                m = lens[v]
+                got = ids[np.repeat(begin[v] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+                at, score = np.repeat(at, m), np.repeat(score, m)
+                order = np.lexsort((got, -score, at))
+                at, score, got = at[order], score[order], got[order]
+                near = np.arange(len(at)) - np.searchsorted(at, at) <= k
+                out.append((names[a + at[near]], got[near], score[near]))
+        q_, v_, s_ = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"q": q_, "vec_id": v_, "score": s_})
+
+    found = cells.select("list", "cell", "v", "ids").groupBy("list", "cell").cogroup(probes.select("list", "cell", "q", "v", "limit").groupBy("list", "cell")).applyInPandas(search, "q long, vec_id long, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
     answers = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
