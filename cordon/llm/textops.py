@@ -107,3 +107,49 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         have *= 2
     gap = width - have
     return np.minimum(x[: len(x) - gap], x[gap:]) if gap else x
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + len] of the codes, one after the other."""
+    n = lens[codes]
+    return flat[np.repeat(starts[codes] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+def coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of an array of lists of strings: the distinct strings, the code of each string, where each list begins and ends."""
+    flat = lists.flatten()
+    d = flat.dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
+
+
+def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids given as little-endian 32-bit integers: all of them, where each part begins, and their numbers."""
+    lens = np.array([len(p) >> 2 for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lens) - lens, lens
+
+
+class Memo:
+    """What was computed for strings, in two generations of `half` entries each: what is used again stays."""
+
+    def __init__(self, half: int):
+        self.half, self.young, self.old = half, {}, {}
+
+    def values(self, keys: list[str], learn) -> list[bytes]:
+        """The values of distinct keys; learn gives those of keys not known, in order."""
+        if len(self.young) + len(keys) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        new = []
+        for i, v in enumerate(out):
+            if v is None:
+                v = old.get(keys[i])
+                if v is None:
+                    new.append(i)
+                else:
+                    young[keys[i]] = out[i] = v
+        if new:
+            for i, v in zip(new, learn([keys[i] for i in new])):
+                young[keys[i]] = out[i] = v
+        return out

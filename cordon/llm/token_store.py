@@ -20,105 +20,103 @@ Repeated rows are separate documents. An empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import BLANK, byte_chars
 from .store import new_path, remove
-from .textops import grams, mix, pieces
+from .textops import Memo, coded, gathered, grams, mix, pieces, runs
 
-PIECE = re.compile(r"[^ \t\r\n]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes them for white space
+MARKS = frozenset(".,;:!?|")
 ODD = re.compile("[\u0130\u03a3<]")  # letters whose lower case differs between libraries, and special tokens
 #: Fixed value: the tokenizer's pattern of words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
 WINDOW, LEAST, MOST, MASK = 16, 64, 2048, np.uint64(255)
 
 
 class PieceEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a piece between blanks once.
 
-    Holds for tokenizers that drop white space, never merge across it, and mark the end of a word.
-    Pieces whose words normalisation could change go to the library as they are, and so do all
-    pieces whenever the marks don't give back as many words as went in. `most` bounds the memory.
+    Holds for tokenizers that lower-case, drop white space and never merge across it. Pieces that
+    normalisation could change in another way go to the library as they are. `most` bounds what is remembered.
     """
 
-    def __init__(self, definition: str, most: int = 600_000):
+    def __init__(self, definition: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        d = json.loads(definition)
-        suffix = d["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(max([*d["model"]["vocab"].values(), *(a["id"] for a in d["added_tokens"])]) + 1, bool)
-        self.ends[[i for t, i in d["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
-        self.most, self.known, self.words = most, {}, {}
+        self.chars = byte_chars()
+        self.known, self.words = Memo(most), Memo(most // 2)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if not ODD.search(p) and unicodedata.is_normalized("NFC", p)]
-        split = [WORDS.findall(p.lower()) for p in plain]
-        words = list(set().union(*split).difference(self.words))
-        if words:
-            if len(self.words) + len(words) > self.most // 2:
-                self.words.clear()
-                words = list(set().union(*split))
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(words):
-                raw, last = ids.tobytes(), 0
-                for w, a in zip(words, (4 * at).tolist()):
-                    self.words[w] = raw[last:a]
-                    last = a
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of normalised words, from the library's model itself."""
+        model, chars = self.tokenizer.model.tokenize, self.chars
+        shown = [w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in words]
+        return [array("I", [t.id for t in model(w)]).tobytes() for w in shown]
+
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []  # None: the library takes the piece as it is
+        for p in new:
+            core = p[:-1] if p[-1:] in MARKS else p
+            if core.isalpha() and core.isascii():
+                split.append([core.lower()] if core is p else [core.lower(), p[-1]])
+            elif ODD.search(p) or not unicodedata.is_normalized("NFC", p):
+                split.append(None)
             else:
-                self.words.update(zip(words, self._whole(words)))
-        self.known.update((p, b"".join([self.words[w] for w in s])) for p, s in zip(plain, split))
-        odd = list(set(new).difference(plain))
-        self.known.update(zip(odd, self._whole(odd)))
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids, and the end id, as little-endian 32-bit integers."""
-        split = [PIECE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join([*map(get, s), end]) for s in split]
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+                split.append(WORDS.findall(p.lower()))
+        words = list(set().union(*(s for s in split if s)))
+        known = dict(zip(words, self.words.values(words, self._words)))
+        whole = iter(self._whole([p for p, s in zip(new, split) if s is None]))
+        return [next(whole) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s]) for s in split]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin and end. Distinct pieces are looked up once each."""
+        pieces, codes, ends = coded(pc.ascii_split_whitespace(texts))
+        flat, starts, lens = runs(self.known.values(pieces, self._pieces))
+        return gathered(flat, starts, lens, codes), np.concatenate([[0], np.cumsum(lens[codes])])[ends]
+
+
+@lru_cache(maxsize=1)
+def encoder(definition: str) -> PieceEncoder:
+    """The worker's encoder: it outlives a task, and so does what it remembers."""
+    return PieceEncoder(definition)
+
+
+def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document, counted over all ids (ends: where the documents begin and end)."""
     calls = np.flatnonzero((grams(mix(ids.astype(np.uint64)), WINDOW) & MASK) == 0) + WINDOW
-    out, last = [], 0
-    for c in [*calls.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            out.append(last)
-        if c - last >= LEAST or c == n:
-            if c > last:
-                out.append(c)
+    at = np.searchsorted(calls, ends)
+    out, calls = [], calls.tolist()
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        one, last = [], a
+        for c in [*(c for c in calls[at[k] : at[k + 1]] if c >= a + WINDOW), b]:
+            while c - last > MOST:
+                last += MOST
+                one.append(last)
+            if c > last and (c - last >= LEAST or c == b):
+                one.append(c)
                 last = c
+        out.append(one)
     return out
 
 
@@ -131,25 +129,28 @@ _STAGE = "kind int, deal int, digest binary, n int, width int, payload binary, d
 
 def _encoder(definition: str, end_id: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = PieceEncoder(definition), np.array([end_id], "<u4").tobytes()
+        coder = encoder(definition)
         tag = TaskContext.get().partitionId() << 40
         sent: set[bytes] = set()
         for batch in batches:
-            for part, _, _ in pieces(batch, "_text"):
-                chunks, docs = [], []
-                for raw in coder.encode([t or "" for t in part.column("_text").to_pylist()], end):
-                    ids, last, digests = np.frombuffer(raw, "<u4"), 0, []
-                    for c in cuts(ids):
+            for part, _, _ in pieces(batch, "_text", 2 << 20):
+                ids, ends = coder.encode(pc.fill_null(part.column("_text"), ""))
+                ids = np.insert(ids, ends[1:], end_id)  # the end id after each document
+                ends = ends + np.arange(len(ends))
+                raw, big, chunks, docs, last = ids.astype("<u4").tobytes(), ids >= 1 << 16, [], [], 0
+                for cut, a, b in zip(cuts(ids, ends), ends[:-1].tolist(), ends[1:].tolist()):
+                    digests = []
+                    for c in cut:
                         d = digest_of(raw[4 * last : 4 * c])
                         digests.append(d)
                         if d not in sent:
                             if len(sent) >= 200_000:
                                 sent.clear()
                             sent.add(d)
-                            width = 2 if int(ids[last:c].max()) < 1 << 16 else 4
+                            width = 4 if big[last:c].any() else 2
                             chunks.append((d, c - last, width, ids[last:c].astype(f"<u{width}").tobytes()))
                         last = c
-                    docs.append((tag, len(ids), digests, digest_of(b"".join(digests)).hex()))
+                    docs.append((tag, b - a, digests, digest_of(b"".join(digests)).hex()))
                     tag += 1
                 m, k = len(chunks), len(docs)
                 cd, cn, cw, cp = zip(*chunks) if chunks else ((), (), (), ())
@@ -215,7 +216,7 @@ def _roots(recipes: DataFrame) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = spark.read.parquet(f"{path}/stage").where("kind = 0").select("digest", "n", "width", "payload")
+    chunks = spark.read.schema("kind int, digest binary, n int, width int, payload binary").parquet(f"{path}/stage").where("kind = 0").drop("kind")
     return chunks, spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
 
 
@@ -261,16 +262,20 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shift = _Shift()
     for batch in batches:
-        parts = batch.column("parts").to_pylist()
-        for p, root, n in zip(parts, batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()):
-            if digest_of(b"".join(x["digest"] for x in p)).hex() != root or sum(x["n"] for x in p) != n:
+        lists = batch.column("parts")
+        flat = lists.flatten()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        digests, n, crc = b"".join(flat.field("digest").to_pylist()), flat.field("n").to_numpy(zero_copy_only=False), flat.field("crc").to_numpy(zero_copy_only=False).astype(np.uint64)
+        totals = np.concatenate([[0], np.cumsum(n)])
+        for a, b, x, y, root, want in zip((ends - sizes).tolist(), ends.tolist(), totals[ends - sizes].tolist(), totals[ends].tolist(), batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()):
+            if digest_of(digests[16 * a : 16 * b]).hex() != root or y - x != want:
                 raise ValueError("a recipe differs from its root")
-        sizes = np.array([len(p) for p in parts])
-        out = np.zeros(len(parts), np.uint64)
+        out, moved = np.zeros(len(sizes), np.uint64), shift(4 * n.astype(np.int64))
         for i in range(int(sizes.max(initial=0))):  # the i-th chunk of all documents that have one
             at = np.flatnonzero(sizes > i)
-            crc, n = np.array([parts[k][i]["crc"] for k in at], np.uint64), np.array([parts[k][i]["n"] * 4 for k in at], np.int64)
-            out[at] = _times(out[at], shift(n)) ^ crc
+            k = (ends - sizes)[at] + i
+            out[at] = _times(out[at], moved[k]) ^ crc[k]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
