@@ -6,7 +6,7 @@ weighted by how reliable its classifier was in training; the score is the share
 codeword when losses are taken as logarithms, and a small lead over the next one marks the text as
 ambiguous.
 
-Training takes a bounded sample: the `per_language` labelled rows (default 500) with the least key
+Training takes a bounded sample: the `per_language` labelled rows (default 300) with the least key
 hash of each language. Predictions read the whole text and nothing else. A null text, or one without a
 letter, is `und` with score 0; with no labelled rows every text is. Null labels do not train. Empty
 tables give empty results; repeated rows are predicted alike.
@@ -70,9 +70,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(ends[:-1], ends[1:]):
                 x = np.concatenate([np.bincount(g[a : max(a, b - n + 1)], minlength=DIMS) / max(1, b - n + 1 - a) for g, (n, _) in zip(ids, ORDERS)]).reshape(len(ORDERS), DIMS).sum(0)
                 w = np.flatnonzero(x)
-                where.append(w.astype(np.int32))
-                counts.append(x[w].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([part.column("_lang"), pa.array(where, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["_lang", "at", "x"])
+                where.append(w.astype(np.int32).tobytes())
+                counts.append(x[w].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("_lang"), pa.array(where, pa.binary()), pa.array(counts, pa.binary())], ["_lang", "at", "x"])
 
 
 class LanguageModel:
@@ -80,28 +80,29 @@ class LanguageModel:
         self.languages, self.codes, self.weights, self.bias, self.trust = languages, codes, weights, bias, trust
 
     @classmethod
-    def fit(cls, docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", where: Column | None = None, per_language: int = 500, steps: int = 250) -> LanguageModel | None:
+    def fit(cls, docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", where: Column | None = None, per_language: int = 300, steps: int = 250) -> LanguageModel | None:
         """Learns from labelled rows; None if there are none."""
         rows = docs.where(where) if where is not None else docs
         rows = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_key")).where("_lang is not null and length(_text) > 0")
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_key"))).where(F.col("_n") <= per_language)
-        got = rows.select("_lang", "_text").mapInArrow(_features, "_lang string, at array<int>, x array<float>").collect()
+        got = rows.select("_lang", "_text").mapInArrow(_features, "_lang string, at binary, x binary").collect()
         if not got:
             return None
-        got.sort(key=lambda r: (r[0], r[1], r[2]))
+        got.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
         languages = sorted({r[0] for r in got})
         codes = codewords(len(languages), max(8, min(31, 2 * len(languages) + 7)))
         x = np.zeros((len(got), DIMS), np.float32)
         for i, r in enumerate(got):
-            x[i, r[1]] = r[2]
-        scale = 1 / np.sqrt((x**2).mean(0) + 1e-7)
+            x[i, np.frombuffer(r[1], np.int32)] = np.frombuffer(r[2], np.float32)
+        scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)
         x *= scale
+        sizes = np.einsum("ij,ij->i", x, x)
         label = np.array([languages.index(r[0]) for r in got])
         share = 1 / np.bincount(label)[label]
         share /= share.sum()
         y = codes[label].astype(np.float32)
         w, b = np.zeros((DIMS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
-        norm = float((share[:, None] * x**2).sum())  # bounds the curvature, so that the step is safe
+        norm = float((share * sizes).sum())  # bounds the curvature, so that the step is safe
         vw, vb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):
             pull = (share[:, None] * y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
