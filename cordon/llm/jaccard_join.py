@@ -1,17 +1,20 @@
 """N-gram Jaccard join by vertical partitioning of the n-gram order.
 
 N-grams are ordered by hash, and this order is cut into fragments. Two sets with a similarity of p
-percent or more differ in at most a (100 - p) / p of the smaller set's size; cut into two fragments
-more than that, they agree in two whole fragments at least, and a hash of each fragment finds them.
-Fragments that are empty in both show nothing, so a set with two or more empty fragments also has a
-key for each pair of these. Sizes are cut into classes, so that a set knows by which number of fragments it meets
+percent or more differ in at most a (100 - p) / p of the smaller set's size; cut into a known number of
+fragments more than that, they agree in that number of whole fragments at least. A hash of each fragment finds
+them, and sets that meet no others in so many fragments are left out. Fragments that are empty in
+both show nothing, so they lower that number, and a set with as many empty ones has a key for each pair of these. Sizes are cut into classes, so that a set knows by which number of fragments it meets
 smaller and larger ones.
 
-Each set of a bucket is first held against the bucket's least member only: in a group of near copies this
-links all to one. Only where a bucket still has members of different components are these paired
-with each other. A pair's overlap is counted fragment by fragment (here a fixed number of them, so
-that rows stay small), the partial counts are summed, and the exact comparison of integers decides.
-Equal sets are one node from the start, so copies are never paired.
+Each set of a bucket is first held against the bucket's least member only. Sets of buckets that still
+hold several components are then ordered by how rare their n-grams are among them: two that link
+share one of the rarest few, and what follows the first that they share bounds their overlap. A
+near copy with many n-grams of its own thus meets nobody, and the others are held against the one
+nearest to what they have in common, then across the components that are left. A pair's overlap is counted
+fragment by fragment (here a fixed number of them, so that rows stay small), the partial counts are
+summed, and the exact comparison of integers decides. Equal sets are one node from the start, so copies
+are never paired.
 
 A Bloom filter of keys that occur twice keeps single keys out of the shuffle.
 
@@ -47,9 +50,11 @@ def size_classes(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def fragments(percent: int, k: int) -> int:
-    """For pairs whose smaller set is of class k: two more than the elements in which they can differ."""
-    return (100 - percent) * (size_classes(percent)[k + 1] - 1) // percent + 2
+def fragments(percent: int, k: int) -> tuple[int, int]:
+    """For pairs whose smaller set is of class k: the number of fragments, and how many at least are equal in both."""
+    differ = (100 - percent) * (size_classes(percent)[k + 1] - 1) // percent
+    same = 2 + differ // 8
+    return differ + same, same
 
 
 def sets_of(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
@@ -68,24 +73,26 @@ def node_of(s: np.ndarray) -> int:
     return int((mix(s, 1).sum(dtype=np.uint64) ^ (mix(s, 2).sum(dtype=np.uint64) >> np.uint64(1))).view(np.int64))
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys by which a set meets others."""
+def keys_of(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """The keys by which a set meets others, as (side, least number shared with any set that it links with on that side, keys)."""
     classes = size_classes(percent)
     if len(s) < classes[0]:
-        return s[:0]
+        return []
     k = int(np.searchsorted(classes, len(s), "right")) - 1
     out = []
     for scheme in (k, k - 1)[: 1 + (k > 0)]:
-        f = fragments(percent, scheme)
+        f, same = fragments(percent, scheme)
         part = ((s >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         there = part[begin]
-        out.append(mix(np.add.reduceat(mix(s, 3), begin) + mix(there + np.uint64(scheme << 40), 4)))
-        if len(there) <= f - 2:
-            empty = np.setdiff1d(np.arange(f, dtype=np.uint64), there)
-            i, j = np.triu_indices(len(empty), 1)
-            out.append(mix(mix(empty[i], 5) + mix(empty[j] + np.uint64(scheme << 40), 6)))
-    return np.concatenate(out)
+        keys = mix(np.add.reduceat(mix(s, 3), begin) + mix(there + np.uint64(scheme << 40), 4))
+        empty = f - len(there)
+        if empty >= same:
+            at = np.setdiff1d(np.arange(f, dtype=np.uint64), there)
+            i, j = np.triu_indices(len(at), 1)
+            keys = np.concatenate([keys, mix(mix(at[i], 5) + mix(at[j] + np.uint64(scheme << 40), 6))])
+        out.append((scheme & 1, max(1, same - empty), keys))
+    return out
 
 
 def _sizes(n: int):
@@ -105,19 +112,20 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[i
 
 
 def _keys(n: int, percent: int, bits=None):
-    """Keys of the sets of a slice; with bits, of those the ones that may recur, with node and size."""
+    """Keys of the sets of a slice; with bits, the ones that may recur, with node, size, side and need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, n):
-            keys = [keys_of(s, percent) for s in sets.values()]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            found = [(x, len(s), *k) for x, s in sets.items() for k in keys_of(s, percent)]
+            flat = np.concatenate([k[4] for k in found]) if found else np.zeros(0, np.uint64)
             if bits is None:
                 h, c = np.unique(flat, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int32())], ["h", "c"])
             else:
                 go = holds(bits.value, flat)
-                counts = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[go].view(np.int64)), pa.array(np.repeat(np.array([*sets], np.int64), counts)[go]), pa.array(np.repeat(np.array([len(s) for s in sets.values()], np.int64), counts)[go])], ["h", "node", "n"])
+                counts = [len(k[4]) for k in found]
+                each = lambda i, kind: pa.array(np.repeat(np.array([k[i] for k in found], kind), counts)[go])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[go].view(np.int64)), each(0, np.int64), each(1, np.int64), each(2, np.int32), each(3, np.int32)], ["h", "node", "n", "side", "need"])
 
     return run
 
@@ -152,12 +160,23 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(counts, pa.int64())], ["a", "b", "part"])
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, na, b, nb), those that link."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().mapInArrow(_mixed, "h long")
-    bits = bloom(nodes, "h")
-    parts = rows.select("_text").mapInArrow(_fragments(n, bits), "node long, f int, s binary").groupBy("node", "f").agg(F.first("s").alias("s"))
-    parts = written(parts, "fragments")
+def _meeting(keyed: DataFrame, group: str) -> DataFrame:
+    """Rows of keys that several groups have, of sets with as many such keys as a link needs."""
+    several = keyed.groupBy("h").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).where("lo <> hi").select("h")
+    met = keyed.join(several, "h", "left_semi")
+    enough = met.groupBy("node", "side").agg(F.count("*").alias("k"), F.first("need").alias("w")).where("k >= w").select("node", "side")
+    return met.join(enough, ["node", "side"], "left_semi")
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, f, s): the sets of these nodes, cut into fragments; and by chance a few others."""
+    bits = bloom(nodes.select("node").mapInArrow(_mixed, "h long"), "h")
+    found = rows.select("_text").mapInArrow(_fragments(n, bits), "node long, f int, s binary")
+    return written(found.groupBy("node", "f").agg(F.first("s").alias("s")), "fragments")
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, na, b, nb), those that link: overlaps are counted fragment by fragment and summed."""
     left = parts.select(F.col("node").alias("a"), "f", "s")
     right = parts.select(F.col("node").alias("b"), "f", F.col("s").alias("t"))
     both = pairs.select("a", "b").join(left, "a").join(right, ["b", "f"])
@@ -166,33 +185,78 @@ def _verified(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return written(linked.select("a", "b"), "links")
 
 
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("s").to_pylist()]
+        counts = [len(x) for x in sets]
+        node = np.repeat(batch.column("node").to_numpy(), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else node), pa.array(node)], ["g", "node"])
+
+
+def _prefixes(parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(g, node, n, at): the rarest n-grams of each set that another has too, as many as a link needs one of, with their places.
+
+    Rare means rare among these sets; n-grams as frequent are ordered by hash.
+    """
+    grams_ = written(parts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_grams_of, "g long, node long"), "grams")
+    sizes = grams_.groupBy("g").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("df", F.col("size"))
+    ranked = spread_join(grams_, sizes, "g", grams_.count()).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
+    n = F.size("x").cast("long")
+    need = F.ceil(n * percent / F.lit(100)).cast("long")
+    out = ranked.select("node", n.alias("n"), F.posexplode(F.slice("x", F.lit(1), (n - need + 1).cast("int"))).alias("at", "y"))
+    return written(out.where("y.df > 1").select(F.col("y.g").alias("g"), "node", "n", "at"), "prefixes")
+
+
+def _can(percent: int, a: str, b: str):
+    """Whether sets that have their first common n-gram at these places can link: what is left of both suffices."""
+    na, nb, ia, ib = (F.col(f"{c}{x}") for c in ("n", "at") for x in (a, b))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent)
+
+
+def _without(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that are not among the known ones, either way round."""
+    turned = known.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(known.select("a", "b").union(turned), ["a", "b"], "left_anti")
+
+
 def near_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: _key, n_shingles, component_id, the smallest key reachable by links."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     sized = written(rows.mapInArrow(_sizes(n), f"_key {kind}, n long, node long"), "shingle-sets")
     bits = bloom(rows.select("_text").mapInArrow(_keys(n, percent), "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "h")
-    keyed = rows.select("_text").mapInArrow(_keys(n, percent, bits), "h long, node long, n long")
-    keyed = keyed.groupBy("h", "node").agg(F.first("n").alias("n"))
-    keyed = written(keyed, "keys")
+    keyed = rows.select("_text").mapInArrow(_keys(n, percent, bits), "h long, node long, n long, side int, need int")
+    keyed = written(keyed.groupBy("h", "node").agg(*(F.first(c).alias(c) for c in ("n", "side", "need"))), "keys")
+    for _ in range(2):  # each time fewer sets are left to meet
+        keyed = written(_meeting(keyed, "node"), "keys")
     least = keyed.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("q")).where("p.node <> q").select("h", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = keyed.join(least, "h").where((F.col("node") != F.col("p")) & fits("n", "np"))
     stars = stars.groupBy("node", "n", "p", "np").agg(F.count("*").alias("m"))
     best = stars.groupBy("node", "n").agg(F.max(F.struct("m", "p", "np")).alias("x"))
     first = written(best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x.p").alias("b"), F.col("x.np").alias("nb")), "pairs")
-    links = _verified(rows, first, n, percent)
+    links = _verified(first, _sets(rows, first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), n), percent)
     joined = components(links)
-    # Buckets that still hold several components: their members are paired across these.
-    now = keyed.join(joined, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    now = written(now.join(open_, "h", "left_semi"), "open")
-    a, b = (now.select("h", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x)) for x in "ab")
-    rest = a.join(b, "h").where((F.col("ca") < F.col("cb")) & fits("na", "nb")).select("a", "na", "b", "nb").distinct()
-    rest = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rows, rest, n, percent))
-        joined = components(links)
+    # Buckets that still hold several components: their members may link across these.
+    now = keyed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    nodes = written(_meeting(now, "c").select("node").distinct(), "open")
+    if not nodes.isEmpty():
+        parts = _sets(rows, nodes, n)
+        prefix = _prefixes(parts, nodes, percent)
+        # Against the member with the fewest rarer n-grams: of a group of near copies, the one nearest to what they have in common.
+        least = prefix.groupBy("g").agg(F.min(F.struct("at", "node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        meet = spread_join(prefix, least, "g", prefix.count()).where("node <> p.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.at").alias("atb"))
+        star = meet.where(_can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
+        star = written(_without(star, first), "pairs")
+        links = links.unionByName(_verified(star, parts, percent))
+        joined = written(components(links), "components")
+        side = lambda x: prefix.join(joined, "node", "left").select("g", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("at").alias("at" + x), F.coalesce("component", "node").alias("c" + x))
+        rest = side("a").join(side("b"), "g").where((F.col("ca") < F.col("cb")) & _can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
+        rest = written(_without(_without(rest, first), star), "pairs")
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(rest, parts, percent))
+            joined = components(links)
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"))
     nodes = sized.where("node is not null").groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("size"))
     nodes = nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("component", "node").alias("c"))
