@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import cosine_distance
+from ..functions.scalar import cosine_distance, dot
 
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int = 5, id_: str = "id", vector: str = "embedding") -> DataFrame:
@@ -23,8 +23,11 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "id",
 
     Queries (qid, tenant, vector) and rows meet on the tenant; each task keeps k of a query before the shuffle.
     """
-    q = queries.select(F.col(qid).alias("_q"), F.col(tenant).alias("_t"), F.col(vector).alias("_v"))
-    pairs = rows.join(q, F.col(tenant) == F.col("_t")).select(F.col("_q").alias(qid), F.col(id_), cosine_distance(F.col(vector), F.col("_v")).alias("distance"))
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))  # noqa: E731  once for each vector, not for each pair
+    q = queries.select(F.col(qid).alias("_q"), F.col(tenant).alias("_t"), F.col(vector).alias("_v"), norm(vector).alias("_m"))
+    own = rows.select(F.col(id_), F.col(tenant).alias("_u"), F.col(vector).alias("_w"), norm(vector).alias("_n"))
+    distance = F.when(F.size("_w") == F.size("_v"), F.lit(1.0) - F.try_divide(dot(F.col("_w"), F.col("_v")), F.col("_n") * F.col("_m")))
+    pairs = own.join(q, F.col("_u") == F.col("_t")).select(F.col("_q").alias(qid), F.col(id_), distance.alias("distance"))
     order = Window.partitionBy(qid).orderBy(F.col("distance").asc_nulls_last(), id_)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
