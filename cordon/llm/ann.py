@@ -4,7 +4,7 @@ Vectors get one more component that makes their lengths equal, so that the large
 the least distance; then a random rotation spreads every distance evenly over the dimensions. An index of
 k-means lists, fitted on a bounded sample (`sample`, default 16,384 vectors with the least id hash),
 holds every vector. The number of lists probed is chosen on the sample, so that `recall` of its own
-nearest pairs is found there. A list is stored in cells of at most `cell` vectors, in column blocks; a query
+nearest pairs is found there by queries of the form that all queries have. A list is stored in cells of at most `cell` vectors, in column blocks; a query
 scans the blocks of a cell one after the other, and after each a hypothesis test on the partial
 distance abandons candidates that are unlikely to come near enough: within the distance of the k-th of the
 sample, or of those in the cell that look nearest. Survivors are scored exactly on the original vectors.
@@ -47,7 +47,7 @@ class Index:
             starts = np.flatnonzero(np.diff(own[order], prepend=-1))
             c[own[order][starts]] = np.add.reduceat(x[order], starts) / np.diff([*starts, len(x)])[:, None]
         self.centres, self.home = c, self.near(x, c, 1)[:, 0]
-        self.probes = self._probes(x, k, recall, rng)
+        self.probes = self._probes(sample, k, recall, rng)
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         """Vectors of one length, turned; a query has no part in the additional dimension."""
@@ -79,14 +79,17 @@ class Index:
             out.append(np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), 1, "stable"), 1))
         return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
-    def _probes(self, x: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> int:
-        some = x[rng.permutation(len(x))[:512]]
-        lists = len(self.centres)
-        own = self.near(x, self.centres, 1)[:, 0]
-        place = np.argsort(self.near(some, self.centres, lists), 1)  # of each list in each query's order
+    def _probes(self, sample: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> int:
+        """Lists to probe so that queries made of sample vectors, without the additional dimension as all queries are, find `recall` of their k nearest others."""
+        x, pick = self.sample, rng.permutation(len(sample))[:512]
+        some = self.query(sample[pick])
+        place = np.argsort(self.near(some, self.centres, len(self.centres)), 1)  # of each list in each query's order
         d = (x**2).sum(1) - 2 * some @ x.T
-        m = min(k + 1, len(x))
-        found = np.sort(np.take_along_axis(place, own[np.argpartition(d, m - 1, 1)[:, :m]], 1).ravel())
+        d[np.arange(len(pick)), pick] = np.inf
+        m = min(k, len(x) - 1)
+        if not m:
+            return 1
+        found = np.sort(np.take_along_axis(place, self.home[np.argpartition(d, m - 1, 1)[:, :m]], 1).ravel())
         return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1
 
 

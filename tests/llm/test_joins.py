@@ -175,6 +175,19 @@ def test_neighbours(spark):
     assert [j for j, _ in got[120]] == [j for j, _ in want[120]]
 
 
+def test_neighbours_of_differing_lengths(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((6000, 32))
+    x *= (np.exp(0.5 * rng.standard_normal(6000)) / np.linalg.norm(x, axis=1))[:, None]
+    x = x.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(set)
+    for r in ann.neighbours(frame, lists=48).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = brute_nearest(x, range(6000), 20)
+    assert sum(len(got[i] & {j for j, _ in want[i]}) for i in want) / sum(map(len, want.values())) >= 0.95
+
+
 def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.neighbours(frame).orderBy("query_id", "rank").collect()]
