@@ -5,7 +5,8 @@ longest wins. Pages are linked with the urls that they redirect to (meta refresh
 connected components over these links are one address under several names. A url that no rule fits
 takes the block of any other name of its component; a url that a rule allows stays allowed.
 
-A name is host and path, since nothing else decides a rule. Nulls: a null url, or one without
+A name is the url without scheme and fragment: host, path and query, since one path may serve as many
+addresses as it has queries; rules look at host and path only. Nulls: a null url, or one without
 `://`, has an empty host and path, fits no rule, is linked with nothing and is allowed; a null html has
 no links. Empty tables give empty results; repeated rows are judged alike; other columns are kept.
 """
@@ -33,6 +34,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(url: Column) -> Column:
+    """Host, path and query; `/` stands for an empty path."""
+    path, query = path_of(url), F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*((?:\?[^#]*)?)", 1), F.lit(""))
+    return F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query)
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path, and its verdict; null if none does. Of rules equally long the longer host wins."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -61,13 +68,11 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: Sequenc
     """pages with host, path, rule and verdict (columns of these names are replaced)."""
     host, path, name = fresh(pages, "_host"), fresh(pages, "_path"), fresh(pages, "_name")
     rows = pages.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
-    whole = F.concat(F.col(host), F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path)))
-    rows = rows.withColumn(name, F.when(F.col(host) != "", whole))
+    rows = rows.withColumn(name, F.when(F.col(host) != "", name_of(F.col(url))))
     links = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("a"), F.explode(F.transform(targets_of(F.col(html)), lambda t: resolved(t, F.col(host), F.col(path)))).alias("t"))
-    other = F.concat(host_of(F.col("t")), F.when(path_of(F.col("t")) == "", F.lit("/")).otherwise(path_of(F.col("t"))))
-    members = components(links.where(host_of(F.col("t")) != "").select("a", other.alias("b")))
+    members = components(links.where(host_of(F.col("t")) != "").select("a", name_of(F.col("t")).alias("b")))
     parts = F.split(F.col("node"), "/", 2)
-    node_rule = rule_for(parts[0], F.concat(F.lit("/"), parts[1]), rules)[1]
+    node_rule = rule_for(parts[0], F.concat(F.lit("/"), F.regexp_extract(parts[1], r"^[^?]*", 0)), rules)[1]
     blocked = members.where(node_rule == "block").select("component").distinct()
     # Names that no rule fits and whose component has a block: only they change, so pages without links just pass.
     caught = members.where(node_rule.isNull()).join(blocked, "component", "left_semi").select(F.col("node").alias("_caught"))

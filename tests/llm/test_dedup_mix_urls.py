@@ -153,3 +153,19 @@ def test_urls(spark):
     }
     assert url_filter.judge(frame.limit(0)).count() == 0
     assert "Python" not in url_filter.judge(frame).select(F.col("verdict"))._jdf.queryExecution().toString()
+
+
+def test_urls_that_differ_in_the_query(spark):
+    to = "<meta http-equiv=refresh content='0; url={}'>"
+    rows = [
+        (1, "http://r.net/out?u=1", to.format("http://example.org/en/1x")),
+        (2, "http://r.net/out?u=2#a?u=1", to.format("http://clean.net/a")),
+        (3, "http://clean.net/a", None),
+        (4, "http://r.net/out", None),
+        (5, "https://r.net/out?u=1#part", None),
+        (6, "http://r.net?u=3", to.format("http://example.org/en/1x?/fr/")),
+        (7, "http://r.net/?u=3", None),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "block"}
