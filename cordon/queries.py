@@ -91,7 +91,7 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def _query_vectors(spark, d) -> DataFrame:
-    return _vectors(spark, d).where("id < 10").select(F.col("id").alias("qid"), "tenant_id", "embedding")
+    return _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("qid"), "tenant_id", "embedding")
 
 
 def _first_vector(spark, d) -> list[float]:

@@ -20,3 +20,8 @@ def test_all_questions(spark, con, name):  # noqa: F811
 def test_all_questions_stemmed(spark, con):  # noqa: F811
     items = {i for (i,) in con.sql("SELECT item_id FROM benchmark").fetchall()}
     assert {r["qid"] for r in queries.text_rank_stemmed(spark, SF).collect()} == items and len(items) > 10
+
+
+def test_every_twentieth_vector(spark, con):  # noqa: F811
+    whole = queries.ORACLE_SQL["vector_topk_each"].replace("q.vec_id < 10", "q.vec_id % 20 = 0")
+    assert plain(queries.vector_topk_each(spark, SF).toPandas()) == plain(con.sql(whole).df())
