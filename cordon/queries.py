@@ -405,7 +405,7 @@ def atomic_replace(spark, d):
 def reciprocal_rank_fusion(spark, d):
     hits = _hits(spark, d)
     by_id = hits.select("qid", "id", F.row_number().over(fusion.Window.partitionBy("qid").orderBy("id")).alias("rank"))
-    out = fusion.fused([textsearch.ranked(hits, 20), by_id.where("rank <= 20")])
+    out = fusion.fused([textsearch.ranked(hits), by_id])
     return out.where("rank <= 5").select("qid", "id", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -25,3 +25,8 @@ def test_all_questions_stemmed(spark, con):  # noqa: F811
 def test_every_twentieth_vector(spark, con):  # noqa: F811
     whole = queries.ORACLE_SQL["vector_topk_each"].replace("q.vec_id < 10", "q.vec_id % 20 = 0")
     assert plain(queries.vector_topk_each(spark, SF).toPandas()) == plain(con.sql(whole).df())
+
+
+def test_fusion_of_whole_rankings(spark, con):  # noqa: F811
+    whole = re.sub(PART, "", queries.ORACLE_SQL["reciprocal_rank_fusion"]).replace(" WHERE rank <= 20", "")
+    assert plain(queries.reciprocal_rank_fusion(spark, SF).toPandas()) == plain(con.sql(whole).df())
