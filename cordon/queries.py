@@ -263,7 +263,7 @@ _TRUTH = "w AS (SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN document
 
 
 def _truth(spark, d) -> DataFrame:
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(60)).alias("p"))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("p"))
     # The phrases of all questions against all documents.
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(items), F.contains("text", "p")).select("qid", "id").distinct()
 
@@ -294,7 +294,7 @@ def trap_tally(spark, d):
 
 @query("SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 60)) WHERE item_id < 10")
 def derived_truth(spark, d):
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.left("text", F.lit(60))).alias("phrases"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("phrases"))
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("all").alias("document"))
     return metrics.derived_truth(F.broadcast(asked.withColumn("documents", F.array(F.lit("all")))), docs)
 

@@ -30,3 +30,12 @@ def test_every_twentieth_vector(spark, con):  # noqa: F811
 def test_fusion_of_whole_rankings(spark, con):  # noqa: F811
     whole = re.sub(PART, "", queries.ORACLE_SQL["reciprocal_rank_fusion"]).replace(" WHERE rank <= 20", "")
     assert plain(queries.reciprocal_rank_fusion(spark, SF).toPandas()) == plain(con.sql(whole).df())
+
+
+def test_truth_by_the_whole_text(spark, tmp_path):
+    item = "x" * 60 + " the rest of the item"
+    spark.createDataFrame([(0, item), (30, "other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"a {item} b"), (2, "x" * 60 + " another rest"), (3, "other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(0, 1), (30, 3)}
+    assert {(r["qid"], r["id"]) for r in queries.derived_truth(spark, str(tmp_path)).collect()} == want
+    assert {(r["qid"], r["id"]) for r in queries._truth(spark, str(tmp_path)).collect()} == want
