@@ -165,16 +165,16 @@ def line_classes(spark, d):
 
 @query(r"SELECT conv_id, turn, 'Role ' || role AS key, md5(regexp_extract(l, '^([A-Za-z][A-Za-z0-9 /]{0,40}):\s+(\S.*)$', 2)) AS value_md5 FROM (SELECT *, 'Role ' || role || ': ' || string_split(text, chr(10))[1] AS l FROM conversations) WHERE regexp_matches(l, '^[A-Za-z][A-Za-z0-9 /]{0,40}:\s+\S.*$')")
 def metadata_pairs(spark, d):
-    line = F.concat(F.lit("Role "), F.col("role"), F.lit(": "), F.split("text", "\n")[0])
-    pair = scalar.metadata_pair(line)
-    return _t(spark, d, "conversations").select("conv_id", "turn", pair.alias("p")).where("p is not null").select("conv_id", "turn", "p.key", F.md5("p.value").alias("value_md5"))
+    lines = F.split(F.concat(F.lit("Role "), F.col("role"), F.lit(": "), F.col("text")), "\n")
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.explode(lines).alias("line"))
+    return rows.select("conv_id", "turn", scalar.metadata_pair(F.col("line")).alias("p")).where("p is not null").select("conv_id", "turn", "p.key", F.md5("p.value").alias("value_md5"))
 
 
 @query("SELECT conv_id, string_agg('T' || turn || ': ' || role, ' | ' ORDER BY turn) AS suffix FROM conversations WHERE turn < 10 GROUP BY conv_id")
 def metadata_suffixes(spark, d):
     line = F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(": "), F.col("role"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
-    return _t(spark, d, "conversations").where("turn < 10").groupBy("conv_id").agg(lines.alias("l")).select("conv_id", scalar.metadata_suffix(scalar.metadata_map(F.col("l"))).alias("suffix"))
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(lines.alias("l")).select("conv_id", scalar.metadata_suffix(scalar.metadata_map(F.col("l"))).alias("suffix"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN source || chr(10) || chr(10) || text ELSE source || ' > ' || lang || chr(10) || chr(10) || text END) AS embedded_md5 FROM documents")

@@ -1,5 +1,6 @@
 """Queries whose SQL asks a part only, against the same SQL asked for the whole."""
 
+import hashlib
 import re
 
 import pytest
@@ -39,3 +40,13 @@ def test_truth_by_the_whole_text(spark, tmp_path):
     want = {(0, 1), (30, 3)}
     assert {(r["qid"], r["id"]) for r in queries.derived_truth(spark, str(tmp_path)).collect()} == want
     assert {(r["qid"], r["id"]) for r in queries._truth(spark, str(tmp_path)).collect()} == want
+
+
+def test_metadata_of_all_lines_and_turns(spark, tmp_path):
+    rows = [(1, t, "user", f"turn {t}\nColour: red {t}\nno pair") for t in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["turn"], r["key"], r["value_md5"]) for r in queries.metadata_pairs(spark, str(tmp_path)).collect())
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert got == sorted(p for t in range(12) for p in ((t, "Colour", md5(f"red {t}")), (t, "Role user", md5(f"turn {t}"))))
+    suffix = queries.metadata_suffixes(spark, str(tmp_path)).first()["suffix"]
+    assert suffix == " | ".join(f"T{t}: user" for t in range(12))
