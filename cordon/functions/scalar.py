@@ -26,9 +26,10 @@ def is_table_row(line: Column) -> Column:
 
 
 def metadata_pair(line: Column) -> Column:
-    """struct(key, value) of a metadata line, else null."""
-    key, value = F.regexp_extract(line, METADATA, 1), F.regexp_extract(line, METADATA, 2)
-    return F.when(line.rlike(METADATA), F.struct(key.alias("key"), value.alias("value")))
+    """struct(key, value), both without blanks at their ends, of a metadata line, else null."""
+    pattern = f"(?sU){METADATA}"  # a line holds no line feed, but may hold other line ends
+    key, value = (F.regexp_replace(F.regexp_extract(line, pattern, i), r"(?U)\s+$", "") for i in (1, 2))
+    return F.when(line.rlike(pattern), F.struct(key.alias("key"), value.alias("value")))
 
 
 def metadata_map(lines: Column) -> Column:
