@@ -104,7 +104,7 @@ def vector_topk_tenant(spark, d):
     return vector.top_k(own, _first_vector(spark, d), 5).withColumn("distance", _r("distance"))
 
 
-@query(f"WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS dist FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id < 10) SELECT qid, id, round(dist, 6) + 0 AS distance, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM p QUALIFY rank <= 5")
+@query(f"WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS dist FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % 20 = 0) SELECT qid, id, round(dist, 6) + 0 AS distance, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM p QUALIFY rank <= 5")
 def vector_topk_each(spark, d):
     out = vector.top_k_each(_vectors(spark, d), _query_vectors(spark, d), 5)
     return out.select("qid", "id", (_r("distance") + 0).alias("distance"), F.col("rank").cast("long").alias("rank"))
@@ -163,14 +163,14 @@ def line_classes(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(scalar.is_heading(F.col("l"))).alias("headings"), F.count_if(scalar.is_table_row(F.col("l"))).alias("table_rows"))
 
 
-@query(r"SELECT conv_id, turn, 'Role ' || role AS key, md5(regexp_extract(l, '^([A-Za-z][A-Za-z0-9 /]{0,40}):\s+(\S.*)$', 2)) AS value_md5 FROM (SELECT *, 'Role ' || role || ': ' || string_split(text, chr(10))[1] AS l FROM conversations) WHERE regexp_matches(l, '^[A-Za-z][A-Za-z0-9 /]{0,40}:\s+\S.*$')")
+@query(r"SELECT conv_id, turn, trim(regexp_extract(l, '^([A-Za-z][A-Za-z0-9 /]{0,40}):\s+(\S.*)$', 1)) AS key, md5(regexp_replace(regexp_extract(l, '(?s)^([A-Za-z][A-Za-z0-9 /]{0,40}):\s+(\S.*)$', 2), '\s+$', '')) AS value_md5 FROM (SELECT conv_id, turn, unnest(string_split('Role ' || role || ': ' || text, chr(10))) AS l FROM conversations) WHERE regexp_matches(l, '(?s)^[A-Za-z][A-Za-z0-9 /]{0,40}:\s+\S.*$')")
 def metadata_pairs(spark, d):
     lines = F.split(F.concat(F.lit("Role "), F.col("role"), F.lit(": "), F.col("text")), "\n")
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.explode(lines).alias("line"))
     return rows.select("conv_id", "turn", scalar.metadata_pair(F.col("line")).alias("p")).where("p is not null").select("conv_id", "turn", "p.key", F.md5("p.value").alias("value_md5"))
 
 
-@query("SELECT conv_id, string_agg('T' || turn || ': ' || role, ' | ' ORDER BY turn) AS suffix FROM conversations WHERE turn < 10 GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('T' || turn || ': ' || role, ' | ' ORDER BY turn) AS suffix FROM conversations GROUP BY conv_id")
 def metadata_suffixes(spark, d):
     line = F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(": "), F.col("role"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
@@ -227,7 +227,7 @@ def embedding_cost(spark, d):
 
 _TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _INDEX = f"i AS (SELECT doc_id, source, term, count(*) AS tf FROM (SELECT doc_id, source, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY ALL)"
-_ASKED = f"q AS (SELECT item_id AS qid, len(list_distinct({_TERMS.format('text')})) AS n, unnest(list_distinct({_TERMS.format('text')})) AS term FROM benchmark WHERE item_id < 10)"
+_ASKED = f"q AS (SELECT item_id AS qid, len(list_distinct({_TERMS.format('text')})) AS n, unnest(list_distinct({_TERMS.format('text')})) AS term FROM benchmark)"
 _SCORES = f"{_INDEX}, {_ASKED}, s AS (SELECT qid, doc_id AS id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685 / n), 6) AS score FROM q JOIN i USING (term) GROUP BY ALL)"
 
 
@@ -259,7 +259,7 @@ def text_rank_stemmed(spark, d):
     return textsearch.ranked(textsearch.search(index, _questions(spark, d), analyzer.query_terms("text")), 5)
 
 
-_TRUTH = "w AS (SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 60)) WHERE item_id < 10)"
+_TRUTH = "w AS (SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
 
 
 def _truth(spark, d) -> DataFrame:
@@ -273,7 +273,7 @@ def _scores(spark, d) -> DataFrame:
     return metrics.retrieval_scores(textsearch.ranked(_hits(spark, d)), _truth(spark, d), qs)
 
 
-_METRICS = f"WITH {_SCORES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s), {_TRUTH}, g AS (SELECT q.item_id AS qid, 'kind' || (q.item_id % 3) AS kind, coalesce(bool_or(r.rank <= 1), false) AS hit_1, coalesce(bool_or(r.rank <= 5), false) AS hit_5, coalesce(count(*) FILTER (r.rank <= 5) * 1.0 / nullif((SELECT count(*) FROM w w2 WHERE w2.qid = q.item_id), 0), 0) AS recall_5, coalesce(1.0 / min(r.rank), 0) AS mrr FROM benchmark q LEFT JOIN (r SEMI JOIN w ON r.qid = w.qid AND r.id = w.id) r ON r.qid = q.item_id WHERE q.item_id < 10 GROUP BY q.item_id)"
+_METRICS = f"WITH {_SCORES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s), {_TRUTH}, g AS (SELECT q.item_id AS qid, 'kind' || (q.item_id % 3) AS kind, coalesce(bool_or(r.rank <= 1), false) AS hit_1, coalesce(bool_or(r.rank <= 5), false) AS hit_5, coalesce(count(*) FILTER (r.rank <= 5) * 1.0 / nullif((SELECT count(*) FROM w w2 WHERE w2.qid = q.item_id), 0), 0) AS recall_5, coalesce(1.0 / min(r.rank), 0) AS mrr FROM benchmark q LEFT JOIN (r SEMI JOIN w ON r.qid = w.qid AND r.id = w.id) r ON r.qid = q.item_id GROUP BY q.item_id)"
 
 
 @query(_METRICS + " SELECT kind, count(*) AS n, round(avg(hit_1::INT), 6) AS hit_1, round(avg(hit_5::INT), 6) AS hit_5, round(avg(recall_5), 6) AS recall_5, round(avg(mrr), 6) AS mrr FROM g GROUP BY GROUPING SETS ((kind), ())")
@@ -292,11 +292,11 @@ def trap_tally(spark, d):
     return metrics.trap_tally(_questions(spark, d).select(F.col("id").alias("qid")), textsearch.ranked(_hits(spark, d), 1))
 
 
-@query("SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 60)) WHERE item_id < 10")
+@query("SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON source IN ('src' || item_id % 20, 'src' || (item_id + 1) % 20, 'src' || (item_id + 2) % 20, 'src' || (item_id + 3) % 20, 'src' || (item_id + 5) % 20, 'src' || (item_id + 8) % 20, 'src' || (item_id + 13) % 20) AND contains(documents.text, benchmark.text)")
 def derived_truth(spark, d):
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("phrases"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("all").alias("document"))
-    return metrics.derived_truth(F.broadcast(asked.withColumn("documents", F.array(F.lit("all")))), docs)
+    named = F.transform(F.array(*(F.lit(k) for k in (0, 1, 2, 3, 5, 8, 13))), lambda k: F.concat(F.lit("src"), ((F.col("item_id") + k) % 20).cast("string")))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("phrases"), named.alias("documents"))
+    return metrics.derived_truth(asked, _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("document")))
 
 
 # metrics on rows
@@ -365,11 +365,14 @@ def insert_ignore(spark, d):
     return ingest.insert_ignore(part(3, "old"), part(5, "new"), "k")
 
 
-@query("SELECT CAST(label AS VARCHAR) AS tenant_id, vec_id AS id, CASE WHEN label % 2 = 1 THEN 'v2' ELSE 'v1' END AS embed_model, CAST(CASE WHEN label % 2 = 1 THEN embedding[2] ELSE embedding[1] END AS DOUBLE) AS x FROM embeddings")
+@query("SELECT CAST(label AS VARCHAR) AS tenant_id, vec_id AS id, CASE WHEN label % 2 = 1 THEN 'v2' ELSE 'v1' END AS embed_model, CAST(CASE WHEN label % 2 = 1 THEN len(embedding) // 2 ELSE len(embedding) END AS INTEGER) AS embed_dim, round(list_sum(CASE WHEN label % 2 = 1 THEN embedding[:len(embedding) // 2] ELSE embedding END::DOUBLE[]), 4) + 0 AS total FROM embeddings")
 def cutover_switch(spark, d):
-    rows = _vectors(spark, d).select("tenant_id", "id", F.lit("").alias("document_id"), F.slice("embedding", 1, 1).alias("embedding"), F.lit("v1").alias("embed_model"), F.lit(1).alias("embed_dim"), F.slice("embedding", 2, 1).alias("embedding_v2"), F.lit("v2").alias("embed_model_v2"), F.lit(1).alias("embed_dim_v2"))
+    n = F.size("embedding")
+    second = F.slice("embedding", F.lit(1), F.floor(n / 2).cast("int"))
+    rows = _vectors(spark, d).withColumns({"document_id": F.lit(""), "embed_model": F.lit("v1"), "embed_dim": n, "embedding_v2": second, "embed_model_v2": F.lit("v2"), "embed_dim_v2": F.size(second)})
     flags = rows.select("tenant_id").distinct().where(F.col("tenant_id").cast("int") % 2 == 1).withColumn("active_model", F.lit("v2"))
-    return backfill.active_embeddings(rows, flags).select("tenant_id", "id", "embed_model", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y)
+    return backfill.active_embeddings(rows, flags).select("tenant_id", "id", "embed_model", "embed_dim", (_r(total, 4) + 0).alias("total"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS embed_model FROM documents WHERE doc_id % 7 = 0 OR lang <> 'en'")
@@ -401,7 +404,7 @@ def atomic_replace(spark, d):
 # beyond the reference: what it only announces
 
 
-@query(f"WITH {_SCORES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM s), u AS (SELECT qid, id, 1.0 / (60 + rank) AS x FROM r WHERE rank <= 20 UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM b WHERE rank <= 20), g AS (SELECT qid, id, sum(x) AS x FROM u GROUP BY qid, id) SELECT qid, id, round(x, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, id) AS rank FROM g QUALIFY rank <= 5")
+@query(f"WITH {_SCORES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM s), u AS (SELECT qid, id, 1.0 / (60 + rank) AS x FROM r UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM b), g AS (SELECT qid, id, sum(x) AS x FROM u GROUP BY qid, id) SELECT qid, id, round(x, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, id) AS rank FROM g QUALIFY rank <= 5")
 def reciprocal_rank_fusion(spark, d):
     hits = _hits(spark, d)
     by_id = hits.select("qid", "id", F.row_number().over(fusion.Window.partitionBy("qid").orderBy("id")).alias("rank"))
