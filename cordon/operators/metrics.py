@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import floor_rank, nearest_rank
+from ..functions.scalar import floor_rank
+from .selection import at_ranks, middle, nearest_rank
 
 
 def hit_at(rank: Column, expected: Column, k: int) -> Column:
@@ -63,31 +64,23 @@ def _not_empty(out: DataFrame) -> DataFrame:
 
 
 def stage_percentiles(stages: DataFrame, query: str = "query_id", stage: str = "stage", ms: str = "ms", ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """stage, n, p50, p95: of each stage over the queries that have it, and with a null stage of their sums, end to end.
-
-    A stage's values are gathered in one row; for stages with more than some millions of values use ranked_percentiles().
-    """
+    """stage, n, p50, p95: of each stage over the queries that have it, and with a null stage of their sums, end to end."""
     ends = stages.groupBy(query).agg(F.sum(ms).alias("_v")).select(F.lit(None).cast("string").alias(stage), "_v")
-    both = stages.select(F.col(stage), F.col(ms).alias("_v")).unionByName(ends)
-    out = both.groupBy(stage).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
-    return out.select(stage, F.size("_a").alias("n"), *(nearest_rank(F.col("_a"), p).alias(f"p{round(p * 100)}") for p in ps))
+    return ranked_percentiles(stages.select(F.col(stage), F.col(ms).alias("_v")).unionByName(ends), stage, "_v", ps)
 
 
 def ranked_percentiles(rows: DataFrame, group: str, value: str, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """The same by counts of distinct values, for groups of any size: values are counted before the shuffle and no group is gathered."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
-    from pyspark.sql.window import Window
-
-    run = Window.partitionBy(group).orderBy(value)
-    placed = counts.withColumn("_upto", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
-    at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1)).cast("long")
-    return placed.groupBy(group).agg(F.max("_n").alias("n"), *(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps))
+    """group, n, p50, p95: values at the nearest ranks, exactly, for groups of any size (see selection)."""
+    return at_ranks(rows, group, value, {f"p{round(p * 100)}": nearest_rank(p) for p in ps})
 
 
 def cost_per_query(rows: DataFrame, *parts: str) -> DataFrame:
     """One row: usd_per_query, the mean of the parts' sums, and median_usd_per_query; raises when it runs over no rows."""
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
-    return _not_empty(rows.agg(F.avg(total).alias("usd_per_query"), F.median(total).alias("median_usd_per_query"), F.count("*").alias("_n")))
+    sums = rows.select(total.alias("_v"))
+    half = at_ranks(sums, None, "_v", {"a": middle(True), "b": middle(False)}).agg(F.first((F.col("a") + F.col("b")) / 2).alias("median_usd_per_query"))
+    mean = sums.agg(F.avg("_v").alias("usd_per_query"), F.count("*").alias("_n"))
+    return _not_empty(mean.join(half, how="cross"))  # a row each
 
 
 def latency_sample(rows: DataFrame, order: str, ms: str, warm_up: int = 30, keep: int = 300) -> DataFrame:
