@@ -38,6 +38,23 @@ def retrieval_scores(ranked: DataFrame, expected: DataFrame, questions: DataFram
     return out.withColumns(recall | hits | {"mrr": F.coalesce("mrr", F.lit(0.0))}).drop("_want", *(f"_got_{k}" for k in ks))
 
 
+def strategy_scores(texts: DataFrame, questions: DataFrame, expected: DataFrame, text_terms: Column, question_terms: Column) -> DataFrame:
+    """strategy, n, hit_1, hit_5, mrr: how well each way to index the documents finds the expected ones.
+
+    texts: strategy, document, chunk_index, search_text; questions: id, text; expected: qid, id (a document). All strategies
+    are searched at once, each as a tenant of one index; a chunk counts as its document.
+    """
+    from . import textsearch
+
+    kinds = texts.select("strategy").distinct()
+    index = textsearch.inverted_index(texts.withColumn("_id", F.struct("document", "chunk_index")), "_id", text_terms, "strategy")
+    asked = questions.crossJoin(F.broadcast(kinds)).withColumn("_q", F.struct("strategy", "id"))  # a few strategies
+    ranked = textsearch.ranked(textsearch.search(index, asked, question_terms, "_q", "strategy"))
+    want = expected.crossJoin(F.broadcast(kinds)).select(F.struct("strategy", F.col("qid").alias("id")).alias("qid"), "id")
+    scores = retrieval_scores(ranked.select("qid", F.col("id.document").alias("id"), "rank"), want, asked.select(F.col("_q").alias("qid"), "strategy"))
+    return scores.groupBy("strategy").agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(c) for c in ("hit_1", "hit_5", "mrr")))
+
+
 def by_category(scores: DataFrame, category: str, *values: Column) -> DataFrame:
     """Aggregates per category and, with a null category, over all questions."""
     return scores.groupingSets([[F.col(category)], []], F.col(category)).agg(*values)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tenancy
+from . import chunk_sql, tenancy
 from .functions import analyzer, scalar
 from .operators import backfill, chunking, fusion, ingest, metrics, textsearch, vector
 from .sources import embedding, files, synthetic
@@ -190,29 +190,41 @@ def chunk_names(spark, d):
     return rows.select("chunk", "p.path", "p.slug", "p.category", "p.stem", F.col("p.ordinal").cast("long").alias("ordinal"))
 
 
-@query()
+@query(chunk_sql.PARSE)
 def parse_structure(spark, d):
-    p = chunking.parsed(F.col("text"))
-    rows = _t(spark, d, "documents").select("doc_id", p.alias("p"))
-    return rows.select("doc_id", "p.title", F.size("p.metadata").alias("n_metadata"), F.size("p.sections").alias("n_sections"))
+    rows = _t(spark, d, "documents").select("doc_id", chunking.parsed(F.col("text")).alias("p"))
+    blocks = F.flatten(F.transform("p.sections", lambda s: s["blocks"]))
+    tables = F.size(F.filter(blocks, lambda b: b["kind"] == "table"))
+    return rows.select("doc_id", "p.title", *(n.cast("long").alias(c) for c, n in (("n_metadata", F.size("p.metadata")), ("n_sections", F.size("p.sections")), ("n_tables", tables), ("n_blocks", F.size(blocks)))))
 
 
-@query()
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"), F.array_join("section_path", " > ").alias("section_path"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query(chunk_sql.BY_SECTIONS)
 def chunks_by_sections(spark, d):
-    return chunking.chunked(_t(spark, d, "documents").select("doc_id", "text"))
+    return _chunk_rows(chunking.chunked(_t(spark, d, "documents").select("doc_id", "text")))
 
 
-@query()
+@query(chunk_sql.BY_SENTENCES)
 def chunks_by_sentences(spark, d):
-    return chunking.chunked(_t(spark, d, "documents").select("doc_id", "text"), strategy=chunking.sentence_chunks)
+    return _chunk_rows(chunking.chunked(_t(spark, d, "documents").select("doc_id", "text"), strategy=chunking.sentence_chunks))
 
 
-@query()
+@query(chunk_sql.VARIANTS)
 def search_text_variants(spark, d):
     out = chunking.search_texts(_t(spark, d, "documents").select("doc_id", "text"))
     return out.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.length("search_text")).alias("chars"))
 
 
+@query(chunk_sql.STRATEGY_SCORES)
+def strategy_scores(spark, d):
+    texts = chunking.search_texts(_t(spark, d, "documents").select("doc_id", "text")).select("strategy", F.col("doc_id").alias("document"), "chunk_index", "search_text")
+    out = metrics.strategy_scores(texts, _questions(spark, d), _truth(spark, d), analyzer.plain_terms(F.col("search_text")), analyzer.plain_terms(F.col("text")))
+    return out.select(F.col("strategy").cast("long").alias("strategy"), "n", *(_r(c).alias(c) for c in ("hit_1", "hit_5", "mrr")))
+
+
 @query()
 def synthetic_corpus(spark, d):
     return synthetic.corpus(spark)
