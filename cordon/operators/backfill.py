@@ -1,7 +1,8 @@
 """Second embeddings: resumable backfill, cutover, rollback and reads by the active model.
 
 A batch takes the next rows by id after the cursor whose second vector is null, and commits vectors and
-progress together. An empty page completes the tenant; after that nothing is taken any more, so
+progress together. The first batch orders the tenant's parts by id, so that each batch rewrites a few batches' worth of rows,
+whatever the tenant's size. An empty page completes the tenant; after that nothing is taken any more, so
 rows that come later keep null vectors and fail the model check after a cutover.
 """
 
@@ -30,27 +31,30 @@ def keyset_page(rows: DataFrame, cursor: str | int | None, limit: int, null: str
 
 def backfill_tenant(store: Store, tenant: str, provider: Provider, model: str, dim: int, batch: int = 1000) -> int:
     """One batch; returns the rows it embedded, from their bare content."""
+    if store.read("progress", tenant=tenant).isEmpty() and store.parts("chunks", tenant):
+        store.ranged("chunks", tenant, "id", 4 * batch)
     base = store.version()
     with handle(store, tenant, base) as own:
         now = own.table("progress").first()
         if now and now["status"] == "complete":
             return 0
-        chunks = store.read("chunks", base, tenant=tenant)
         page = keyset_page(own.table("chunks"), now and now["last_chunk_id"], batch)
         done = embed(page.select("id", "content"), provider, model, dim, F.col("content"), "embedding_v2", ("embed_model_v2", "embed_dim_v2"))
-        part = store._write("chunks", tenant, page.drop("embedding_v2", "embed_model_v2", "embed_dim_v2").join(done.drop("content"), "id"))
-        new = store.spark.read.schema(store.schemas["chunks"]).parquet(f"{store.path}/{part}")  # embedded once
+        part = store.write_part("chunks", tenant, page.drop("embedding_v2", "embed_model_v2", "embed_dim_v2").join(done.drop("content"), "id"))
+        new = store.read_parts("chunks", [part])  # embedded once
         n, last = new.agg(F.count("*"), F.max("id")).first()
         progress = store.read("progress", base, tenant=tenant)
         fresh = store.spark.createDataFrame([(tenant, last, n, "in_progress" if n else "complete")], "tenant_id string, last_chunk_id string, chunks_done int, status string").withColumn("updated_at", F.current_timestamp())
+        parts = {}
         if n:
             enforce(new, "chunks", dim)
             merged = upsert(progress, fresh, "tenant_id", {"chunks_done": "o.chunks_done + n.chunks_done"})
-            change = {"chunks": {tenant: chunks.join(new.select("id"), "id", "left_anti").unionByName(new)}}
+            ids = new.select("id")
+            rest = store.without("chunks", tenant, lambda rows: rows.join(ids, "id", "left_semi"), lambda rows: rows.join(ids, "id", "left_anti"), base)
+            parts = {"chunks": {tenant: [*rest, part]}}
         else:
             merged = upsert(progress, fresh, "tenant_id", {"chunks_done": "o.chunks_done", "last_chunk_id": "o.last_chunk_id"})
-            change = {}
-        store.commit(change | {"progress": {tenant: merged}}, base)
+        store.commit({"progress": {tenant: merged}}, base, parts=parts)
         return n
 
 
