@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step replaces links by links to smaller nodes; a step's shuffles carry one row per link, and
-the minimum per node is aggregated before the shuffle, so a hub costs no more than its links.
+the minimum per node is aggregated before the shuffle. A node with a large share of the links is not
+joined in one task: its minimum is broadcast (see spread_join).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import spread_join, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,10 +27,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = spread_join(both.where("v > u"), least, "u", 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = spread_join(large, least, "u", mark[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         now = written(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
         last, mark = mark, _mark(now)
         if mark == last:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom, holds
 from .components import components
-from .store import spread_join, written
+from .store import scratch, spread_join, written
 from .textops import Words, grams, mix, pieces
 
 PARTS = 8  # fragments in which overlaps are counted
@@ -95,54 +95,65 @@ def keys_of(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _sizes(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, ends in pieces(batch, "_text"):
-                sets = sets_of(data, ends, n)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "_text"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], [*(c for c in part.schema.names if c != "_text"), "n", "node"])
-
-    return run
-
-
 def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.ndarray]]:
     for batch in batches:
         for _, data, ends in pieces(batch, "_text"):
             yield {node_of(s): s for s in sets_of(data, ends, n) if len(s)}
 
 
-def _keys(n: int, percent: int, bits=None):
-    """Keys of the sets of a slice; with bits, the ones that may recur, with node, size, side and need."""
+def _all_keys(n: int, percent: int):
+    """The keys of the sets of a slice, with their numbers there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, n):
-            found = [(x, len(s), *k) for x, s in sets.items() for k in keys_of(s, percent)]
-            flat = np.concatenate([k[4] for k in found]) if found else np.zeros(0, np.uint64)
-            if bits is None:
-                h, c = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int32())], ["h", "c"])
-            else:
+            flat = [k[2] for s in sets.values() for k in keys_of(s, percent)]
+            h, c = np.unique(np.concatenate(flat) if flat else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int32())], ["h", "c"])
+
+    return run
+
+
+def _documents_and_keys(n: int, percent: int, bits):
+    """A row for each document, with its set's size and node; and rows with the keys of these sets that may recur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, ends in pieces(batch, "_text"):
+                sets = sets_of(data, ends, n)
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                found = [(x, len(s), *k) for x, s in dict(zip(nodes, sets)).items() if len(s) for k in keys_of(s, percent)]
+                flat = np.concatenate([k[4] for k in found]) if found else np.zeros(0, np.uint64)
                 go = holds(bits.value, flat)
-                counts = [len(k[4]) for k in found]
-                each = lambda i, kind: pa.array(np.repeat(np.array([k[i] for k in found], kind), counts)[go])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[go].view(np.int64)), each(0, np.int64), each(1, np.int64), each(2, np.int32), each(3, np.int32)], ["h", "node", "n", "side", "need"])
+                counts, m, docs = [len(k[4]) for k in found], int(go.sum()), part.num_rows
+                each = lambda i, kind: np.repeat(np.array([k[i] for k in found], kind), counts)[go]
+                both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
+                none = [None] * docs
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.concat_arrays([part.column(c), pa.nulls(m, part.column(c).type)]) for c in ("_key", "_hash")),
+                        both([len(s) for s in sets], each(1, np.int64), pa.int64()), both(nodes, each(0, np.int64), pa.int64()), both(none, flat[go].view(np.int64), pa.int64()),
+                        both(none, each(2, np.int32), pa.int32()), both(none, each(3, np.int32), pa.int32()),
+                    ],
+                    ["_key", "_hash", "n", "node", "h", "side", "need"],
+                )
 
     return run
 
 
 def _fragments(n: int, bits):
-    """The sets of nodes that the filter has, fragment by fragment."""
+    """The sets of the texts that the filter has, fragment by fragment; of equal texts in a batch, one is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _distinct_sets(batches, n):
-            nodes = np.array([*sets], np.int64)
-            nodes = nodes[holds(bits.value, mix(nodes.view(np.uint64)))] if len(nodes) else nodes
-            rows = []
-            for x in nodes.tolist():
-                cut = np.searchsorted(sets[x] >> np.uint64(61), np.arange(PARTS + 1, dtype=np.uint64)).tolist()
-                rows += [(x, f, sets[x][a:b].tobytes()) for f, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            cols = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["node", "f", "s"])
+        for batch in batches:
+            h, first = np.unique(batch.column("_hash").to_numpy(), return_index=True)
+            batch = batch.take(pa.array(np.sort(first[holds(bits.value, mix(h.view(np.uint64)))])))
+            for sets in _distinct_sets(iter([batch]), n):
+                rows = []
+                for x, s in sets.items():
+                    cut = np.searchsorted(s >> np.uint64(61), np.arange(PARTS + 1, dtype=np.uint64)).tolist()
+                    rows += [(x, f, s[a:b].tobytes()) for f, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                cols = list(zip(*rows)) if rows else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["node", "f", "s"])
 
     return run
 
@@ -168,10 +179,11 @@ def _meeting(keyed: DataFrame, group: str) -> DataFrame:
     return met.join(enough, ["node", "side"], "left_semi")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, f, s): the sets of these nodes, cut into fragments; and by chance a few others."""
-    bits = bloom(nodes.select("node").mapInArrow(_mixed, "h long"), "h")
-    found = rows.select("_text").mapInArrow(_fragments(n, bits), "node long, f int, s binary")
+def _sets(rows: DataFrame, sized: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, f, s): the sets of these nodes, cut into fragments, each read from one of its texts; and by chance a few others."""
+    texts = sized.groupBy("node").agg(F.min("_hash").alias("_hash")).join(nodes.select("node"), "node", "left_semi")
+    bits = bloom(texts.select("_hash").mapInArrow(_mixed, "h long"), "h")
+    found = rows.select("_text", "_hash").mapInArrow(_fragments(n, bits), "node long, f int, s binary")
     return written(found.groupBy("node", "f").agg(F.first("s").alias("s")), "fragments")
 
 
@@ -222,45 +234,47 @@ def _without(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: _key, n_shingles, component_id, the smallest key reachable by links."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
     kind = rows.schema["_key"].dataType.simpleString()
-    sized = written(rows.mapInArrow(_sizes(n), f"_key {kind}, n long, node long"), "shingle-sets")
-    bits = bloom(rows.select("_text").mapInArrow(_keys(n, percent), "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "h")
-    keyed = rows.select("_text").mapInArrow(_keys(n, percent, bits), "h long, node long, n long, side int, need int")
-    keyed = written(keyed.groupBy("h", "node").agg(*(F.first(c).alias(c) for c in ("n", "side", "need"))), "keys")
-    for _ in range(2):  # each time fewer sets are left to meet
-        keyed = written(_meeting(keyed, "node"), "keys")
-    least = keyed.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("q")).where("p.node <> q").select("h", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    stars = keyed.join(least, "h").where((F.col("node") != F.col("p")) & fits("n", "np"))
-    stars = stars.groupBy("node", "n", "p", "np").agg(F.count("*").alias("m"))
-    best = stars.groupBy("node", "n").agg(F.max(F.struct("m", "p", "np")).alias("x"))
-    first = written(best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x.p").alias("b"), F.col("x.np").alias("nb")), "pairs")
-    links = _verified(first, _sets(rows, first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), n), percent)
-    joined = components(links)
-    # Buckets that still hold several components: their members may link across these.
-    now = keyed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    nodes = written(_meeting(now, "c").select("node").distinct(), "open")
-    if not nodes.isEmpty():
-        parts = _sets(rows, nodes, n)
-        prefix = _prefixes(parts, nodes, percent)
-        # Against the member with the fewest rarer n-grams: of a group of near copies, the one nearest to what they have in common.
-        least = prefix.groupBy("g").agg(F.min(F.struct("at", "node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-        meet = spread_join(prefix, least, "g", prefix.count()).where("node <> p.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.at").alias("atb"))
-        star = meet.where(_can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
-        star = written(_without(star, first), "pairs")
-        links = links.unionByName(_verified(star, parts, percent))
-        joined = written(components(links), "components")
-        side = lambda x: prefix.join(joined, "node", "left").select("g", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("at").alias("at" + x), F.coalesce("component", "node").alias("c" + x))
-        rest = side("a").join(side("b"), "g").where((F.col("ca") < F.col("cb")) & _can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
-        rest = written(_without(_without(rest, first), star), "pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(_verified(rest, parts, percent))
-            joined = components(links)
-    order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"))
-    nodes = sized.where("node is not null").groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("size"))
-    nodes = nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("component", "node").alias("c"))
-    nodes = written(nodes, "nodes")
+    with scratch(docs.sparkSession):
+        bits = bloom(rows.select("_text").mapInArrow(_all_keys(n, percent), "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "h")
+        form = f"_key {kind}, _hash long, n long, node long, h long, side int, need int"
+        both = written(rows.mapInArrow(_documents_and_keys(n, percent, bits), form), "shingle-sets", outer=True)
+        sized, keyed = both.where("h is null").select("_key", "_hash", "n", "node"), both.where("h is not null").select("h", "node", "n", "side", "need")
+        keyed = written(keyed.groupBy("h", "node").agg(*(F.first(c).alias(c) for c in ("n", "side", "need"))), "keys")
+        for _ in range(2):  # each time fewer sets are left to meet
+            keyed = written(_meeting(keyed, "node"), "keys")
+        least = keyed.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("q")).where("p.node <> q").select("h", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
+        fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+        stars = keyed.join(least, "h").where((F.col("node") != F.col("p")) & fits("n", "np"))
+        stars = stars.groupBy("node", "n", "p", "np").agg(F.count("*").alias("m"))
+        best = stars.groupBy("node", "n").agg(F.max(F.struct("m", "p", "np")).alias("x"))
+        first = written(best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x.p").alias("b"), F.col("x.np").alias("nb")), "pairs")
+        links = _verified(first, _sets(rows, sized, first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), n), percent)
+        joined = components(links)
+        # Buckets that still hold several components: their members may link across these.
+        now = keyed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        nodes = written(_meeting(now, "c").select("node").distinct(), "open")
+        if not nodes.isEmpty():
+            parts = _sets(rows, sized, nodes, n)
+            prefix = _prefixes(parts, nodes, percent)
+            # Against the member with the fewest rarer n-grams: of a group of near copies, the one nearest to what they have in common.
+            least = prefix.groupBy("g").agg(F.min(F.struct("at", "node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+            meet = spread_join(prefix, least, "g", prefix.count()).where("node <> p.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.at").alias("atb"))
+            star = meet.where(_can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
+            star = written(_without(star, first), "pairs")
+            links = links.unionByName(_verified(star, parts, percent))
+            joined = written(components(links), "components")
+            side = lambda x: prefix.join(joined, "node", "left").select("g", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("at").alias("at" + x), F.coalesce("component", "node").alias("c" + x))
+            rest = side("a").join(side("b"), "g").where((F.col("ca") < F.col("cb")) & _can(percent, "a", "b")).select("a", "na", "b", "nb").distinct()
+            rest = written(_without(_without(rest, first), star), "pairs")
+            if not rest.isEmpty():
+                links = links.unionByName(_verified(rest, parts, percent))
+                joined = components(links)
+        order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"))
+        nodes = sized.where("node is not null").groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("size"))
+        nodes = nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("component", "node").alias("c"))
+        nodes = written(nodes, "nodes", outer=True)
     total = sized.count()
     smallest = nodes.groupBy("c").agg(F.min("least").alias("smallest"), F.count("*").alias("size"))
     nodes = spread_join(nodes.select("node", "c", F.col("size").alias("copies")), smallest, "c", total).select("node", F.col("smallest.key").alias("component_id"), F.col("copies").alias("size"))

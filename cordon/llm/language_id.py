@@ -83,9 +83,12 @@ class LanguageModel:
     def fit(cls, docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", where: Column | None = None, per_language: int = 300, steps: int = 250) -> LanguageModel | None:
         """Learns from labelled rows; None if there are none."""
         rows = docs.where(where) if where is not None else docs
-        rows = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_key")).where("_lang is not null and length(_text) > 0")
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_key"))).where(F.col("_n") <= per_language)
-        got = rows.select("_lang", "_text").mapInArrow(_features, "_lang string, at binary, x binary").collect()
+        rows = rows.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key), F.col(text)).alias("_h")).where("_lang is not null and length(_text) > 0")
+        # Rows are chosen by their hashes; their texts, at most per_language for each language, never shuffle.
+        best = rows.select("_lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_n") <= per_language)
+        most = best.groupBy("_lang").agg(F.max("_h").alias("_most"))
+        chosen = rows.join(F.broadcast(most.withColumnRenamed("_lang", "_of")), (F.col("_lang") == F.col("_of")) & (F.col("_h") <= F.col("_most")))
+        got = chosen.dropDuplicates(["_lang", "_h"]).select("_lang", "_text").mapInArrow(_features, "_lang string, at binary, x binary").collect()
         if not got:
             return None
         got.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
@@ -121,7 +124,7 @@ class LanguageModel:
         return p.argmax(1), top[:, -1], (top[:, -1] - top[:, -2] < 0.2 if len(self.codes) > 1 else np.zeros(len(p), bool))
 
     def predict(self, docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-        """docs with {prefix}lang_pred, {prefix}score and {prefix}ambiguous."""
+        """See identified()."""
         model, cols = self, docs.columns
         flat = docs.select(*(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(cols)))
         at, inner = f"c_{cols.index(text)}", flat.columns
@@ -151,10 +154,19 @@ class LanguageModel:
 
         form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)
         out = flat.mapInArrow(run, f"{form}, lang_pred string, score double, ambiguous boolean")
-        return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(cols)), *(F.col(c).alias(prefix + c) for c in ("lang_pred", "score", "ambiguous")))
+        return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(cols) if c in _kept(cols, prefix)), *(F.col(c).alias(prefix + c) for c in OUT))
+
+
+OUT = ("lang_pred", "score", "ambiguous")
+
+
+def _kept(columns: list[str], prefix: str) -> list[str]:
+    return [c for c in columns if c.lower() not in {prefix.lower() + o for o in OUT}]
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with {prefix}lang_pred, {prefix}score and {prefix}ambiguous, which replace columns of these names; without a model all are `und`."""
     if model is None:
-        return docs.select("*", F.lit("und").alias(prefix + "lang_pred"), F.lit(0.0).alias(prefix + "score"), F.lit(False).alias(prefix + "ambiguous"))
+        values = zip(OUT, (F.lit("und"), F.lit(0.0), F.lit(False)))
+        return docs.select(*(F.col(f"`{c}`") for c in _kept(docs.columns, prefix)), *(v.alias(prefix + o) for o, v in values))
     return model.predict(docs, text, prefix)

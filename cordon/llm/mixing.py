@@ -13,7 +13,8 @@ table of documents, blocks or shards stays distributed. Reruns with one seed agr
 
 Nulls: a null text has no words; null source is a source of its own, the last; null doc_id is an id.
 Repeated rows are separate rows. Documents without words are never taken. Empty tables give empty
-results. Other columns are carried along untouched, whatever their names.
+results. Other columns are carried along untouched, whatever their names. Documents are ordered by a
+hash of key and text, so only rows equal in both depend on the order of reading.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import written
+from .store import numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,19 +70,35 @@ def _permutation(seed: int, source: int, n: int) -> tuple[int, int]:
     return a % n if n < 1 << 22 else a, _number(seed, source, "c") % n
 
 
+def _drawn(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n blocks drawn from good + bad are good."""
+    if not good or not bad or not n:
+        return 0 if not good else n
+    return int(rng.hypergeometric(good, bad, n)) if good < 10**9 > bad else _inverted(good, bad, n, rng)
+
+
+def _inverted(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """The same law for any size, by inversion over 12 standard deviations on both sides of the mode.
+
+    Logarithms of probabilities, relative to the first, are sums of those of neighbours' exact ratios.
+    """
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    wide = 12 * (math.isqrt(n * good * bad * (total - n) // (total * total * (total - 1))) + 8)
+    low, high = max(0, n - bad, mode - wide), min(good, n, mode + wide)
+    x = np.arange(low, high, dtype=np.float64)  # exact below 2**53
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)  # from x to x + 1
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
+
+
 def _halves(quota: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
-    """A multivariate hypergeometric draw of `left` blocks from quota; beyond numpy's range a normal one, within its bounds."""
+    """A multivariate hypergeometric draw of `left` blocks from quota."""
     rest, out = int(quota.sum()), np.zeros_like(quota)
     for i, q in enumerate(quota.tolist()):
         rest -= q
-        if not left:
-            break
-        if q + rest < 10**9:
-            x = int(rng.hypergeometric(q, rest, left)) if q and rest else min(q, left)
-        else:
-            p = q / (q + rest)
-            x = round(rng.normal(left * p, math.sqrt(max(0.0, left * p * (1 - p) * rest / (q + rest)))))
-        out[i] = x = min(max(x, left - rest, 0), q, left)
+        out[i] = x = _drawn(q, rest, left, rng)
         left -= x
     return out
 
@@ -111,12 +128,14 @@ def split_tree(seed: int, to: int, depth: int):
 
 
 class Mix:
-    """rows: documents with _rid, _sid (source number), _size. targets: source, _sid, source_size, target. pieces: see place()."""
+    """rows: documents' _rid (column `row`, or a number of their own), _key, _source, _size and order. plan: a row for each source. Runs: see place()."""
 
-    def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: int = 7, block_words: int = 1024, shard_words: int = 1 << 18, bucket_rows: int = 10_000, text: str = "text", source: str = "source", key: str = "doc_id"):
+    def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: int = 7, block_words: int = 1024, shard_words: int = 1 << 18, bucket_rows: int = 10_000, text: str = "text", source: str = "source", key: str = "doc_id", row: str | None = None):
         spark = docs.sparkSession
         self.seed, self.block = seed, block_words
-        self.rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size")), "mix-sizes")
+        rid = F.monotonically_increasing_id() if row is None else F.col(row)
+        order = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
+        self.rows = written(docs.select(rid.alias("_rid"), F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), order.alias("_h")), "mix-sizes")
         stats = self.rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()  # one row for each source of the mix
         stats.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
         sizes = [r["size"] for r in stats]
@@ -155,7 +174,7 @@ class Mix:
     def drawn(self) -> DataFrame:
         """What is taken of each document: (_rid, _sid, epoch, block, _seq, first_word, n_words)."""
         small = F.broadcast(self.plan.drop("source_size", "target"))
-        rows = self.rows.where("_size > 0").join(small, self.rows["_source"].eqNullSafe(small["_source"])).select("_rid", "_sid", "_size", *(c for c in self.plan.columns if c[0] == "_" and c not in ("_source", "_sid")), F.xxhash64("_key", F.lit(self.seed)).alias("_h"))
+        rows = self.rows.where("_size > 0").join(small, self.rows["_source"].eqNullSafe(small["_source"])).select("_rid", "_sid", "_size", *(c for c in self.plan.columns if c[0] == "_" and c not in ("_source", "_sid")), "_h")
         rows = rows.withColumn("_bucket", F.pmod("_h", "_buckets"))
         sums = rows.groupBy("_sid", "_bucket").agg(F.sum("_size").alias("_sum"))
         base = sums.select("_sid", "_bucket", (F.sum("_sum").over(Window.partitionBy("_sid").orderBy("_bucket")) - F.col("_sum")).alias("_base"))
@@ -188,25 +207,20 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with docs' columns: a row for each pass that takes words of a document.
 
     A document taken whole keeps its text as it is; one cut by a block's end has the taken words,
-    joined by one space. Rows come shard by shard, each shard in its own order.
+    joined by one space. Shards are dealt to partitions whole, and each is in its own order there.
     """
-    mix = Mix(docs, **settings)
-    text, key, source = settings.get("text", "text"), settings.get("key", "doc_id"), settings.get("source", "source")
-    runs = mix.place().groupBy("_rid", "epoch").agg(F.min(F.struct("shard", "order")).alias("_at"), F.sum("n_words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
-    runs = mix.rows.select("_rid", "_key", "_source", "_size").join(runs, "_rid")
-    # Rows are joined by what they hold, not by position: equal rows are alike, and are numbered to pair up.
-    same = lambda cols, by: F.row_number().over(Window.partitionBy(*cols).orderBy(*by))
-    count = Window.partitionBy("_key", "_source", "_size")
-    kept = mix.rows.withColumn("_i", F.row_number().over(count.orderBy("_rid"))).select("_rid", "_i").join(runs, "_rid")
-    left = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)), F.col(key).alias("_k"), F.col(source).alias("_s"), n_words(F.col(text)).alias("_w"))
-    left = left.withColumn("_j", same(["_k", "_s", "_w"], [F.xxhash64(text_col(docs, text))]))
-    joined = left.join(kept, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")) & (F.col("_j") == F.col("_i")))
-    words = F.regexp_extract_all(F.col(text_col(docs, text)), F.lit(f"({WORD})"))
-    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(words, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
-    out = {c: F.col(f"c_{i}") for i, c in enumerate(docs.columns)}
-    out[text] = F.when(F.col("_taken") == F.col("_size"), out[text]).otherwise(cut)
-    return joined.repartitionByRange(F.col("_at.shard"), F.col("_at.order")).sortWithinPartitions("_at.shard", "_at.order", "_key", "epoch").select(*(v.alias(k) for k, v in out.items()))
-
-
-def text_col(docs: DataFrame, text: str) -> str:
-    return f"c_{docs.columns.index(text)}"
+    rows, row = numbered(docs)
+    mix = Mix(rows, row=row, **settings)
+    text, key = settings.get("text", "text"), settings.get("key", "doc_id")
+    runs = mix.place().groupBy("_rid", "epoch").agg(F.min(F.struct("shard", "order")).alias("at"), F.sum("n_words").alias("taken"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
+    runs = mix.rows.select("_rid", "_size").join(runs, "_rid").select("_rid", F.struct("epoch", "at", "runs", (F.col("taken") == F.col("_size")).alias("whole")).alias("_run"))
+    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
+    named = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(row).alias("_row"))
+    joined = named.join(runs, F.col("_row") == F.col("_rid"))
+    words = F.regexp_extract_all(F.col(names[text]), F.lit(f"({WORD})"))
+    taken = lambda w: F.array_join(F.flatten(F.transform("_run.runs", lambda r: F.slice(w, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
+    cut = F.get(F.transform(F.array(words), taken), F.lit(0))  # bound once for all runs
+    out = {c: F.col(n) for c, n in names.items()}
+    out[text] = F.when(F.col("_run.whole"), out[text]).otherwise(cut)
+    # The text is cut before it moves.
+    return joined.select(*(v.alias(names[c]) for c, v in out.items()), "_run").repartition("_run.at.shard").sortWithinPartitions("_run.at", names[key], "_run.epoch").select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -115,12 +115,12 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.n
     return flat[np.repeat(starts[codes] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-def coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Of an array of lists of strings: the distinct strings, the code of each string, where each list begins and ends."""
     flat = lists.flatten()
     d = flat.dictionary_encode()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
 
 
 def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

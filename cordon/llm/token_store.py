@@ -5,13 +5,16 @@ A rolling hash over the ids of a document cuts them into chunks wherever the las
 stored once, under the BLAKE2b-128 digest of its ids as little-endian 32-bit integers. The store is
 three Parquet tables in one folder:
 
-- stage/kind=0, the chunks: digest, n, width (bytes an id), payload
+- chunks: digest, n, width (bytes an id), payload; rows without a digest are recipes that had no place yet
 - recipes: shard, doc_id, start, n_tokens, digests, root - in ascending doc_id order (nulls first), a shard for
   each run of documents; root is the hash over the document's digests
-- manifest: shard, first_start, n_docs, n_tokens, root - root over the shard's document roots
+- manifest: level, node, first_start, n_docs, n_tokens, root - the Merkle tree over the recipes: a shard's root is
+  the hash over its documents' ids, starts, sizes and roots, a node's the hash over all that up to 1,024 children
+  say; the last level has one node, the store's root
 
-read_back() reads chunks, checks each against its digest, then recipes and manifest against the roots;
-anything that differs raises. Encoding memoises the pieces between blanks, of which there are few.
+read_back() and read_ids() read chunks, check each against its digest, each recipe against its root, and the
+recipes against the manifest up to the store's root, which `expected_root` can fix; anything that differs raises.
+read_back() combines the chunks' checksums, read_ids() puts the ids themselves together. Encoding remembers words, most of which recur.
 
 Nulls: a null text counts as empty, and an empty text is its end id alone; null doc_ids are kept.
 Repeated rows are separate documents. An empty table gives an empty store.
@@ -20,79 +23,127 @@ Repeated rows are separate documents. An empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import BLANK, byte_chars
-from .store import new_path, remove
+from .store import new_path, scratch, shuffles_removed, written
 from .textops import Memo, coded, gathered, grams, mix, pieces, runs
 
-MARKS = frozenset(".,;:!?|")
-ODD = re.compile("[\u0130\u03a3<]")  # letters whose lower case differs between libraries, and special tokens
-#: Fixed value: the tokenizer's pattern of words.
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
+#: The tokenizer's normaliser and pattern of words, which PieceEncoder relies on.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LETTER, DIGIT, MARK, SPACE, OTHER = range(5)  # OTHER: normalisation may do more than lower-case it, or the library has a rule for it
 WINDOW, LEAST, MOST, MASK = 16, 64, 2048, np.uint64(255)
+FAN = 1024  # children of a node of the manifest
+
+
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the basic plane its kind, and its lower case."""
+    kind, lower = np.full(1 << 16, OTHER, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    blank = re.compile(f"[{BLANK}]")
+    for i in range(1 << 16):
+        c, cat = chr(i), unicodedata.category(chr(i))
+        # Marks and Hangul vowels and finals can join what stands before them; unassigned characters differ between Unicode versions.
+        if cat[0] == "M" or cat in ("Cn", "Cs") or 0x1100 <= i < 0x1200 or c in "<'\u03a3" or len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c:
+            continue
+        kind[i] = SPACE if blank.match(c) else LETTER if cat[0] == "L" else DIGIT if cat[0] == "N" else MARK
+        lower[i] = ord(c.lower())
+    return kind, lower
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word of a piece between blanks once.
+    """Ids of texts by the tokenizers library, whose model sees each distinct word once.
 
-    Holds for tokenizers that lower-case, drop white space and never merge across it. Pieces that
-    normalisation could change in another way go to the library as they are. `most` bounds what is remembered.
+    Holds for tokenizers with this normaliser and pattern, which never merge across white space; other
+    definitions raise. Pieces between blanks are cut into words in bulk; those with a character that needs
+    more than that go to the library as they are. `most` bounds what is remembered.
     """
 
-    def __init__(self, definition: str, most: int = 200_000):
+    def __init__(self, definition: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        d = json.loads(definition)
+        split, level = d["pre_tokenizer"]["pretokenizers"] if (d.get("pre_tokenizer") or {}).get("type") == "Sequence" else ({}, {})
+        model = d["model"]
+        same = (d.get("normalizer") or {}).get("normalizers") == NORMALISER and split.get("pattern") == {"Regex": PATTERN} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        same &= level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex")
+        if not same or model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or not all(t["content"].startswith("<") for t in d["added_tokens"]):
+            raise ValueError("this tokenizer is of another kind than the encoder is made for")
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chars = byte_chars()
-        self.known, self.words = Memo(most), Memo(most // 2)
+        self.words, self.others = Memo(most), Memo(most // 5)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of normalised words, from the library's model itself."""
-        model, chars = self.tokenizer.model.tokenize, self.chars
-        shown = [w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in words]
-        return [array("I", [t.id for t in model(w)]).tobytes() for w in shown]
-
-    def _pieces(self, new: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []  # None: the library takes the piece as it is
-        for p in new:
-            core = p[:-1] if p[-1:] in MARKS else p
-            if core.isalpha() and core.isascii():
-                split.append([core.lower()] if core is p else [core.lower(), p[-1]])
-            elif ODD.search(p) or not unicodedata.is_normalized("NFC", p):
-                split.append(None)
-            else:
-                split.append(WORDS.findall(p.lower()))
-        words = list(set().union(*(s for s in split if s)))
-        known = dict(zip(words, self.words.values(words, self._words)))
-        whole = iter(self._whole([p for p, s in zip(new, split) if s is None]))
-        return [next(whole) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s]) for s in split]
+        """Ids of normalised words, from the library's model itself; white space has none."""
+        model, chars, kind = self.tokenizer.model.tokenize, self.chars, characters()[0]
+        out = []
+        for w in words:
+            if not (w.isascii() and w.isprintable()):
+                w = "" if kind[ord(w[0])] == SPACE else "".join([chars[b] for b in w.encode()])
+            out.append(array("I", [t.id for t in model(w)]).tobytes() if w else b"")
+        return out
+
+    def _cut(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All words of the pieces, lower-cased; where each piece's words end; and which pieces have other characters (theirs don't count)."""
+        raw = pieces.cast(pa.large_string())
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = memoryview(raw.buffers()[2] or b"")[ends[0] : ends[-1]] if len(raw) else b""
+        ends = ends - ends[0]
+        first = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # bytes that begin a character
+        at = np.searchsorted(first, ends)
+        point = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32)
+        kind, lower = characters()
+        basic = np.minimum(point, 0xFFFF)  # which is no character
+        k, point = kind[basic], np.where(point < 1 << 16, lower[basic], point)
+        odd = np.concatenate([[0], np.cumsum(k == OTHER)])
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (k[1:] == DIGIT)
+        new[at[:-1][at[:-1] < len(k)]] = True
+        begin = np.flatnonzero(new)
+        wide = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        byte = np.concatenate([[0], np.cumsum(wide)])
+        text = point.astype("<u4").tobytes().decode("utf-32-le").encode()
+        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(byte[begin], len(text)).astype(np.int64)), pa.py_buffer(text))
+        return words, np.searchsorted(begin, at), odd[at[1:]] > odd[at[:-1]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids, and where each text's begin and end. Distinct pieces are looked up once each."""
+        """All texts' ids, and where each text's begin and end. Distinct pieces are cut once each, distinct words looked up once each."""
         pieces, codes, ends = coded(pc.ascii_split_whitespace(texts))
-        flat, starts, lens = runs(self.known.values(pieces, self._pieces))
+        words, at, other = self._cut(pieces)
+        if other.any():
+            words, at, _ = self._cut(pieces.filter(pa.array(~other)))
+        found = words.dictionary_encode()
+        flat, starts, lens = runs(self.words.values(found.dictionary.to_pylist(), self._words))
+        of_word = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, upto = gathered(flat, starts, lens, of_word), np.concatenate([[0], np.cumsum(lens[of_word])])[at]
+        starts, lens = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[~other], lens[~other] = upto[:-1], np.diff(upto)
+        if other.any():
+            more, begin, n = runs(self.others.values(pieces.filter(pa.array(other)).to_pylist(), self._whole))
+            starts[other], lens[other] = begin + len(flat), n
+            flat = np.concatenate([flat, more])
         return gathered(flat, starts, lens, codes), np.concatenate([[0], np.cumsum(lens[codes])])[ends]
 
 
@@ -124,7 +175,7 @@ def digest_of(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
 
-_STAGE = "kind int, deal int, digest binary, n int, width int, payload binary, doc_id {key}, tag long, n_tokens long, digests array<binary>, root string"
+_STAGE = "deal int, lead long, digest binary, n int, width int, payload binary, doc_id {key}, tag long, n_tokens long, digests array<binary>, root string"
 
 
 def _encoder(definition: str, end_id: int, parts: int):
@@ -133,7 +184,7 @@ def _encoder(definition: str, end_id: int, parts: int):
         tag = TaskContext.get().partitionId() << 40
         sent: set[bytes] = set()
         for batch in batches:
-            for part, _, _ in pieces(batch, "_text", 2 << 20):
+            for part, _, _ in pieces(batch, "_text", 16 << 20):
                 ids, ends = coder.encode(pc.fill_null(part.column("_text"), ""))
                 ids = np.insert(ids, ends[1:], end_id)  # the end id after each document
                 ends = ends + np.arange(len(ends))
@@ -155,29 +206,30 @@ def _encoder(definition: str, end_id: int, parts: int):
                 m, k = len(chunks), len(docs)
                 cd, cn, cw, cp = zip(*chunks) if chunks else ((), (), (), ())
                 dt, dn, dd, dr = zip(*docs) if docs else ((), (), (), ())
-                deal = [int.from_bytes(d[:4], "big") for d in cd] + [t * 0x9E3779B1 >> 7 for t in dt]
+                lead = np.concatenate([np.frombuffer(b"".join(cd), "<i8")[::2], np.array(dt, np.int64)])
+                deal = (mix(lead.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
                 key = part.column("_key")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([0] * m + [1] * k, pa.int32()), pa.array([x % parts for x in deal], pa.int32()), pa.array([*cd, *[None] * k], pa.binary()), pa.array([*cn, *[None] * k], pa.int32()),
+                        pa.array(deal), pa.array(lead), pa.array([*cd, *[None] * k], pa.binary()), pa.array([*cn, *[None] * k], pa.int32()),
                         pa.array([*cw, *[None] * k], pa.int32()), pa.array([*cp, *[None] * k], pa.binary()), pa.concat_arrays([pa.nulls(m, key.type), key]), pa.array([*[None] * m, *dt], pa.int64()),
                         pa.array([*[None] * m, *dn], pa.int64()), pa.array([*[None] * m, *dd], pa.list_(pa.binary())), pa.array([*[None] * m, *dr], pa.string()),
                     ],
-                    names=["kind", "deal", "digest", "n", "width", "payload", "doc_id", "tag", "n_tokens", "digests", "root"],
+                    names=["deal", "lead", "digest", "n", "width", "payload", "doc_id", "tag", "n_tokens", "digests", "root"],
                 )
 
     return run
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, each chunk's first."""
-    last = None
+    """Of rows sorted by digest, each chunk's first; rows without a digest stay."""
+    last = pa.array([None], pa.binary())
     for batch in batches:
-        keep = []
-        for d in batch.column("digest").to_pylist():
-            keep.append(d is None or d != last)
-            last = d
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        digest = batch.column("digest")
+        if len(digest):
+            before = pa.concat_arrays([last, digest[:-1]])
+            last = digest[-1:]
+            yield batch.filter(pc.fill_null(pc.not_equal(digest, before), True))
 
 
 def write_store(docs: DataFrame, definition: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", shard_docs: int = 50_000) -> str:
@@ -187,36 +239,78 @@ def write_store(docs: DataFrame, definition: str, end_id: int, path: str | None
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     form = _STAGE.format(key=rows.schema["_key"].dataType.simpleString())
-    staged = rows.mapInArrow(_encoder(definition, end_id, 1 << 20), form).repartition(parts, "deal").sortWithinPartitions("kind", "digest")
-    staged.mapInArrow(_once, form).drop("deal").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/stage")
-    stage = spark.read.schema(form.replace(" deal int,", "")).parquet(f"{path}/stage")
-    recipes = stage.where("kind = 1").select("doc_id", "tag", "n_tokens", "digests", "root")
+    staged = rows.mapInArrow(_encoder(definition, end_id, 1 << 20), form).repartition(parts, "deal").sortWithinPartitions("lead", "digest")
+    with shuffles_removed(spark):
+        staged.mapInArrow(_once, form).drop("deal", "lead").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    stage = spark.read.schema(form.replace("deal int, lead long, ", "")).parquet(f"{path}/chunks")
+    recipes = stage.where("digest is null").select("doc_id", "tag", "n_tokens", "digests", "root")
     shards = max(1, -(-recipes.count() // shard_docs))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tag")]
-    dealt = recipes.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id())
-    dealt.write.option("compression", "zstd").parquet(f"{path}/dealt")
-    dealt = spark.read.schema(dealt.schema).parquet(f"{path}/dealt")
-    sums, base, total = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("s")).orderBy("shard").collect(), [], 0  # a row for each shard
-    for r in sums:
-        base.append((r["shard"], total))
-        total += r["s"]
-    base = F.broadcast(spark.createDataFrame(base, "shard int, _base long"))
-    inside = Window.partitionBy("shard").orderBy(*order)
-    start = F.col("_base") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
-    final = dealt.join(base, "shard").withColumn("start", start).select("shard", "doc_id", "start", "n_tokens", "digests", "root")
-    final.sortWithinPartitions("shard", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _roots(spark.read.schema(final.schema).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
-    remove(spark, f"{path}/dealt")
+    with scratch(spark), shuffles_removed(spark):
+        dealt = written(recipes.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id()), "recipes")
+        sums = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("s"))
+        base = sums.select("shard", (F.sum("s").over(Window.orderBy("shard")) - F.col("s")).alias("_base"))  # a row for each shard
+        inside = Window.partitionBy("shard").orderBy(*order)
+        start = F.col("_base") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
+        final = dealt.join(base, "shard").withColumn("start", start).select("shard", "doc_id", "start", "n_tokens", "digests", "root")
+        final.sortWithinPartitions("shard", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+        level = written(_shards(spark.read.schema(final.schema).parquet(f"{path}/recipes")), "manifest")
+        levels, n = [level], level.count()
+        while n > 1:
+            level = written(_parents(level), "manifest")
+            levels.append(level)
+            n = -(-n // FAN)
+        reduce(DataFrame.unionByName, levels).write.parquet(f"{path}/manifest")
     return path
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "")
-    return recipes.groupBy("shard").agg(F.min("start").alias("first_start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(roots, 256).alias("root"))
+def _over(leaves: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(leaves)), lambda x: x["h"]), ""), 256)
+
+
+def _text(*parts: str) -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts))
+
+
+def _shards(recipes: DataFrame) -> DataFrame:
+    """The tree's leaves."""
+    leaf = F.struct("start", F.sha2(_text("doc_id", "start", "n_tokens", "root"), 256).alias("h"))
+    out = recipes.groupBy(F.col("shard").cast("long").alias("node")).agg(F.min("start").alias("first_start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _over(leaf).alias("root"))
+    return out.select(F.lit(0).alias("level"), "*")
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The level above nodes of one level."""
+    child = F.struct("node", _text("node", "first_start", "n_docs", "n_tokens", "root").alias("h"))
+    out = nodes.groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("node") / FAN).alias("node"))
+    return out.agg(F.min("first_start").alias("first_start"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _over(child).alias("root"))
+
+
+def store_root(spark: SparkSession, path: str) -> str | None:
+    """The root of the store's tree; None if the store is empty."""
+    top = _read(spark, path)[2].orderBy(F.desc("level")).first()
+    return top and top["root"]
+
+
+def _verify(spark: SparkSession, path: str, expected_root: str | None) -> None:
+    """Raises unless recipes and manifest agree, level by level up to one node."""
+    _, recipes, manifest = _read(spark, path)
+    made = _shards(recipes).unionByName(_parents(manifest).select(*manifest.columns))
+    at, values = ["level", "node"], ["first_start", "n_docs", "n_tokens", "root"]
+    both = made.select(*at, F.struct(*values).alias("is")).join(manifest.select(*at, F.struct(*values).alias("said")), at, "full")
+    top = manifest.agg(F.max("level")).first()[0]
+    if top is None:
+        bad = recipes.count()
+    else:  # the one node of the last level makes a parent that is not stored
+        bad = both.where((F.col("level") <= top) & ~F.col("is").eqNullSafe(F.col("said"))).count() + (manifest.where(F.col("level") == top).count() != 1)
+    if bad:
+        raise ValueError(f"{bad} nodes of the manifest differ from what they stand for")
+    if expected_root is not None and store_root(spark, path) != expected_root:
+        raise ValueError("the store has another root")
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = spark.read.schema("kind int, digest binary, n int, width int, payload binary").parquet(f"{path}/stage").where("kind = 0").drop("kind")
+    chunks = spark.read.schema("digest binary, n int, width int, payload binary").parquet(f"{path}/chunks").where("digest is not null")
     return chunks, spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
 
 
@@ -248,15 +342,23 @@ class _Shift:
         return np.array([self.known[s] for s in sizes.tolist()], np.uint64)
 
 
+def _whole(digest: bytes, width: int, payload: bytes) -> bytes:
+    """A chunk's ids, if they are what its digest says."""
+    ids = np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
+    if digest_of(ids) != digest:
+        raise ValueError(f"chunk {digest.hex()} is damaged")
+    return ids
+
+
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs = []
-        for d, w, p in zip(batch.column("digest").to_pylist(), batch.column("width").to_pylist(), batch.column("payload").to_pylist()):
-            ids = np.frombuffer(p, f"<u{w}").astype("<u4").tobytes()
-            if digest_of(ids) != d:
-                raise ValueError(f"chunk {d.hex()} is damaged")
-            crcs.append(zlib.crc32(ids))
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
+        ids = [_whole(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("digest", "width", "payload")))]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) >> 2 for x in ids], pa.int32()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["digest", "n", "crc"])
+
+
+def _agrees(digests: bytes, n: int, root: str, n_tokens: int) -> None:
+    if digest_of(digests).hex() != root or n != n_tokens:
+        raise ValueError("a recipe differs from its root")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +371,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, n, crc = b"".join(flat.field("digest").to_pylist()), flat.field("n").to_numpy(zero_copy_only=False), flat.field("crc").to_numpy(zero_copy_only=False).astype(np.uint64)
         totals = np.concatenate([[0], np.cumsum(n)])
         for a, b, x, y, root, want in zip((ends - sizes).tolist(), ends.tolist(), totals[ends - sizes].tolist(), totals[ends].tolist(), batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()):
-            if digest_of(digests[16 * a : 16 * b]).hex() != root or y - x != want:
-                raise ValueError("a recipe differs from its root")
+            _agrees(digests[16 * a : 16 * b], y - x, root, want)
         out, moved = np.zeros(len(sizes), np.uint64), shift(4 * n.astype(np.int64))
         for i in range(int(sizes.max(initial=0))):  # the i-th chunk of all documents that have one
             at = np.flatnonzero(sizes > i)
@@ -279,29 +380,35 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each stored document, all from the files and verified."""
-    chunks, recipes, manifest = _read(spark, path)
-    seen = _roots(recipes).join(manifest.withColumnRenamed("root", "want").select("shard", "want", F.col("n_docs").alias("_docs")), "shard", "full")
-    bad = seen.where("root is null or want is null or root <> want or n_docs <> _docs").count()
-    if bad:
-        raise ValueError(f"{bad} shards differ from the manifest")
-    crcs = chunks.mapInArrow(_checked, "digest binary, n int, crc long")
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = []
+        for parts, root, want in zip(*(batch.column(c).to_pylist() for c in ("parts", "root", "n_tokens"))):
+            raw = b"".join([_whole(x["digest"], x["width"] or 2, x["payload"] or b"") for x in parts])
+            _agrees(b"".join([x["digest"] for x in parts]), len(raw) >> 2, root, want)
+            ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+
+
+def _parts(recipes: DataFrame, chunks: DataFrame, *fields: Column) -> DataFrame:
+    """The recipes with their chunks in order; a large key is split by Spark, since the join is not followed by an operation on the same key."""
     used = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("_i", "digest"))
-    parts = used.join(crcs, "digest", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("_i", "digest", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0).cast("long")).alias("crc")))).alias("parts"))
-    key = recipes.schema["doc_id"].dataType.simpleString()
-    return parts.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(_joined, f"doc_id {key}, start long, n_tokens long, ids_crc32 long")
+    first = [F.first(c).alias(c) for c in ("doc_id", "n_tokens", "root")]
+    return used.join(chunks, "digest", "left").groupBy("start").agg(*first, F.array_sort(F.collect_list(F.struct("_i", "digest", *fields))).alias("parts")).select("doc_id", "start", "n_tokens", "root", "parts")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids: the documents' ids again, from chunks and recipes."""
+def read_back(spark: SparkSession, path: str, expected_root: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each stored document, all from the files and verified."""
+    _verify(spark, path, expected_root)
     chunks, recipes, _ = _read(spark, path)
-    used = recipes.select("doc_id", "start", F.posexplode("digests").alias("_i", "digest"))
-    whole = used.join(chunks, "digest").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("_i", "width", "payload"))).alias("parts"))
+    crcs = chunks.mapInArrow(_checked, "digest binary, n int, crc long")
+    parts = _parts(recipes, crcs, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0).cast("long")).alias("crc"))
+    return parts.mapInArrow(_joined, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.concatenate([np.frombuffer(x["payload"], f"<u{x['width']}").astype(np.int64) for x in p]) for p in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "parts").mapInArrow(run, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, ids array<long>")
+def read_ids(spark: SparkSession, path: str, expected_root: str | None = None) -> DataFrame:
+    """doc_id, start, ids: the documents' ids again, from chunks and recipes, verified."""
+    _verify(spark, path, expected_root)
+    chunks, recipes, _ = _read(spark, path)
+    parts = _parts(recipes, chunks, F.col("width"), F.col("payload"))
+    return parts.mapInArrow(_assembled, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, ids array<long>")

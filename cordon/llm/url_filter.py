@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import fresh
 
 #: (host, path, verdict); an empty path fits every path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -65,19 +64,23 @@ def resolved(target: Column, host: Column, path: Column) -> Column:
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages with host, path, rule and verdict (columns of these names are replaced)."""
-    host, path, name = fresh(pages, "_host"), fresh(pages, "_path"), fresh(pages, "_name")
-    rows = pages.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
-    rows = rows.withColumn(name, F.when(F.col(host) != "", name_of(F.col(url))))
-    links = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("a"), F.explode(F.transform(targets_of(F.col(html)), lambda t: resolved(t, F.col(host), F.col(path)))).alias("t"))
+    """pages with host, path, rule and verdict (columns of these names are replaced; all others stay, whatever their names)."""
+    names = {c: f"c_{i}" for i, c in enumerate(pages.columns)}
+    rows = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    url_, html_ = F.col(names[url]), F.col(names[html])
+    rows = rows.withColumns({"_host": host_of(url_), "_path": path_of(url_)}).withColumn("_name", F.when(F.col("_host") != "", name_of(url_)))
+    links = rows.where("_name is not null").select(F.col("_name").alias("a"), F.explode(F.transform(targets_of(html_), lambda t: resolved(t, F.col("_host"), F.col("_path")))).alias("t"))
     members = components(links.where(host_of(F.col("t")) != "").select("a", name_of(F.col("t")).alias("b")))
     parts = F.split(F.col("node"), "/", 2)
     node_rule = rule_for(parts[0], F.concat(F.lit("/"), F.regexp_extract(parts[1], r"^[^?]*", 0)), rules)[1]
     blocked = members.where(node_rule == "block").select("component").distinct()
     # Names that no rule fits and whose component has a block: only they change, so pages without links just pass.
     caught = members.where(node_rule.isNull()).join(blocked, "component", "left_semi").select(F.col("node").alias("_caught"))
-    rule, verdict = rule_for(F.col(host), F.col(path), rules)
-    rows = rows.join(caught, F.col(name) == F.col("_caught"), "left")
-    rows = rows.withColumn("_verdict", F.coalesce(verdict, F.when(F.col("_caught").isNotNull(), "block"), F.lit("allow"))).withColumn("_rule", rule)
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return rows.select(*kept, F.col(host).alias("host"), F.col(path).alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    rule, verdict = rule_for(F.col("_host"), F.col("_path"), rules)
+    # Pages that cannot be caught get keys of their own, which no name equals, so that they don't meet in one task.
+    alone = F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumns({"_rule": rule, "_verdict": verdict}).withColumn("_key", F.when(F.col("_name").isNotNull() & F.col("_verdict").isNull(), F.col("_name")).otherwise(alone))
+    rows = rows.join(caught, F.col("_key") == F.col("_caught"), "left")
+    final = F.coalesce("_verdict", F.when(F.col("_caught").isNotNull(), "block"), F.lit("allow"))
+    kept = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("host", "path", "rule", "verdict")]
+    return rows.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), final.alias("verdict"))

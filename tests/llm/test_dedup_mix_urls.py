@@ -106,6 +106,32 @@ def test_halves():
         assert left.sum() == q.sum() // 2 and (left >= 0).all() and (left <= q).all()
 
 
+def test_draws_beyond_the_range_of_numpy():
+    """Means and variances of the hypergeometric law, below and above 10**9 blocks alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((300, 700, 400), (3 * 10**9, 10**9, 10**7), (40, 5 * 10**11, 10**11), (5 * 10**11, 40, 10**11), (2 * 10**9, 1, 10**9)):
+        total = good + bad
+        mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
+        x = np.array([mixing._drawn(good, bad, n, rng) for _ in range(300)], float) - mean
+        assert abs(x.mean()) < 4.5 * (var / 300) ** 0.5 + 1e-9 and 0.7 * var < x.var() < 1.35 * var + 1e-9
+    assert mixing._drawn(5, 0, 3, rng) == 3 and mixing._drawn(0, 5, 3, rng) == 0 and mixing._drawn(10**10, 10**10, 0, rng) == 0
+    # The inversion itself against exact probabilities, on a population that both can do.
+    small = np.bincount([int(mixing._inverted(6, 9, 7, rng)) for _ in range(4000)], minlength=7)
+    from math import comb
+
+    exact = np.array([comb(6, k) * comb(9, 7 - k) / comb(15, 7) for k in range(7)])
+    assert ((small - 4000 * exact) ** 2 / (4000 * exact)).sum() < 25
+
+
+def test_mix_orders_equal_ids_by_text(docs):
+    texts = [" ".join(["w"] * (i % 9 + 1)) + f" x{i}" for i in range(120)]
+    frame = docs(texts, ids=[1] * 60 + [None] * 60, source=["a", "b"] * 60)
+    runs = lambda f: sorted((r["text"]) for r in mixing.mixed(f, block_words=16, shard_words=64, bucket_rows=10).collect())
+    assert runs(frame) == runs(frame.repartition(7))
+
+
 def test_components(spark):
     random.seed(2)
     for n, links in ((40, 30), (200, 190), (60, 0)):
@@ -155,6 +181,23 @@ def test_urls(spark):
     assert "Python" not in url_filter.judge(frame).select(F.col("verdict"))._jdf.queryExecution().toString()
 
 
+def test_urls_with_clashing_columns(spark):
+    to = "<meta http-equiv=refresh content='0; url=http://example.org/en/1'>"
+    names = ["_caught", "_verdict", "_rule", "_host", "_path", "_name", "_key", "verdict", "Host", "c_0"]
+    frame = spark.createDataFrame([(1, "http://r.net/x", to, *names), (2, None, None, *names)], ["page_id", "url", "html", *names])
+    out = url_filter.judge(frame)
+    assert out.columns == ["page_id", "url", "html", "_caught", "_verdict", "_rule", "_host", "_path", "_name", "_key", "c_0", "host", "path", "rule", "verdict"]
+    rows = sorted(out.collect())
+    assert [(r["page_id"], r["verdict"], r["host"]) for r in rows] == [(1, "block", "r.net"), (2, "allow", "")] and all(r[n] == n for r in rows for n in names if n not in ("verdict", "Host"))
+
+
+def test_giant_component(spark):
+    """A hub with most of the links, and chains that hang on it."""
+    links = [(0, i) for i in range(1, 3000)] + [(i, 10_000 + i) for i in range(1, 500)] + [(20_000, 20_001)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert len(got) == 3000 + 499 + 2 and {got[x] for x in got if x < 20_000} == {0} and got[20_001] == 20_000
+
+
 def test_urls_that_differ_in_the_query(spark):
     to = "<meta http-equiv=refresh content='0; url={}'>"
     rows = [

@@ -175,19 +175,47 @@ def test_neighbours(spark):
     assert [j for j, _ in got[120]] == [j for j, _ in want[120]]
 
 
-def test_neighbours_of_differing_lengths(spark):
+LENGTHS = {"constant": (0.0, False), "log-normal 0.5": (0.5, False), "log-normal 1": (1.0, False), "clustered, log-normal 1": (1.0, True)}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_recall_of_differing_lengths(spark, kind):
+    sigma, clustered = LENGTHS[kind]
     rng = np.random.default_rng(11)
     x = rng.standard_normal((6000, 32))
-    x *= (np.exp(0.5 * rng.standard_normal(6000)) / np.linalg.norm(x, axis=1))[:, None]
+    if clustered:
+        x = 0.4 * x + rng.standard_normal((30, 32))[rng.integers(0, 30, 6000)]
+    x *= (np.exp(sigma * rng.standard_normal(6000)) / np.linalg.norm(x, axis=1))[:, None]
     x = x.astype(np.float32).astype(np.float64)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
     got = defaultdict(set)
-    for r in ann.neighbours(frame, lists=48).collect():
+    for r in ann.neighbours(frame, lists=48, portion=100).collect():
         got[r["query_id"]].add(r["vec_id"])
     want = brute_nearest(x, range(6000), 20)
+    assert all(len(v) == 20 for v in got.values()) and len(got) == 300
     assert sum(len(got[i] & {j for j, _ in want[i]}) for i in want) / sum(map(len, want.values())) >= 0.95
 
 
+def test_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 8)).astype(np.float32).astype(np.float64)
+    x[60] = x[20]  # an equal vector of another id
+    ids = [*range(200)]
+    ids[30] = ids[31] = 20  # three rows have the id 20
+    ids[40] = None
+    x[31] = x[30]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.neighbours(frame).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    want = defaultdict(list)
+    for a in range(200):
+        if ids[a] is not None and ids[a] % 20 == 0:
+            best = sorted((-float((x[a] * x[b]).sum()), ids[b]) for b in range(200) if b != a and ids[b] is not None)[:20]
+            want[ids[a]] += [(k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(best)]
+    assert len(got[20]) == 60 and {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
 def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.neighbours(frame).orderBy("query_id", "rank").collect()]

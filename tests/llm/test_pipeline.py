@@ -68,3 +68,28 @@ def test_run(spark, tmp_path, docs):
     assert {r["doc_id"] for r in out.collect()} == {0}
     docs(["x"]).limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_near_tells_rows_apart(spark, docs, tmp_path):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "an unrelated text that stands under the same number as another"
+    more = a + " thirteen"
+    frame = docs([a, more, b, a + " again", b + " too", b + " anyway", "alone"], ids=[2, 4, 4, None, None, None, 9])
+    frame.write.parquet(f"{tmp_path}/d")
+    for docs_ in (frame, spark.read.parquet(f"{tmp_path}/d")):
+        left = sorted((r["doc_id"] or -1, r["text"]) for r in corpus_pipeline.near(spark, docs_, "").collect())
+        assert left == sorted([(2, a), (4, b), (9, "alone")])
+    # Two nulls and a number that is repeated: one of each group stays, whatever its number.
+    frame = docs([b + " too", b, a, a, "x y"], ids=[None, None, 7, 7, 7])
+    left = sorted(r["text"] for r in corpus_pipeline.near(spark, frame, "").collect())
+    assert len(left) == 3 and left[-1] == "x y" and left[1] == a and left[0] in (b + " too", b)
+
+
+def test_stages_with_repeated_and_null_ids(spark, docs):
+    texts = ["the cat sat on the mat " * 3, "the dog lay by the door " * 3, "the cat sat on the mat " * 3, None, "", "der hund und die katze " * 4]
+    frame = docs(texts, ids=[None, 1, 1, 1, None, None], lang=["en", "en", "en", None, None, "de"], source=["a", "b", None, "a", "b", None])
+    now = frame
+    for name, stage in corpus_pipeline.STAGES:
+        now = written(stage(spark, now, ""), "test")
+        n = now.count()
+        assert n == {"language": 4, "exact": 3, "near": 3}.get(name, n) and n >= 3
+    assert now.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]

@@ -78,16 +78,56 @@ def test_token_store(docs, spark):
         assert back[i] == want
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
-    chunks = spark.read.parquet(f"{path}/stage").where("kind = 0")
+    chunks = spark.read.parquet(f"{path}/chunks").where("digest is not null")
     assert chunks.count() == chunks.select("digest").distinct().count() < spark.read.parquet(f"{path}/recipes").select(F.explode("digests")).count()
     files = spark.read.parquet(f"{path}/recipes").groupBy(F.input_file_name().alias("f")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("a").collect()
     assert all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
-    damaged = chunks.withColumn("payload", F.when(F.col("n") > 100, F.reverse("payload")).otherwise(F.col("payload"))).drop("kind")
-    damaged.write.parquet(f"{path}-bad/stage/kind=0")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{t}").write.parquet(f"{path}-bad/{t}")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.read_back(spark, f"{path}-bad").collect()
+    assert [r["n"] for r in spark.read.parquet(f"{path}/manifest").groupBy("level").agg(F.count("*").alias("n")).orderBy("level").collect()] == [5, 1]
+    root = token_store.store_root(spark, path)
+    assert token_store.read_back(spark, path, root).count() == len(texts)
+    with pytest.raises(ValueError, match="another root"):
+        token_store.read_ids(spark, path, "0" * 64)
+
+
+TAMPERINGS = {
+    "payload": ("chunks", lambda t: t.withColumn("payload", F.when(F.col("n") > 100, F.reverse("payload")).otherwise(F.col("payload")))),
+    "chunk gone": ("chunks", lambda t: t.where("n <= 100 or digest is null")),
+    "doc_id": ("recipes", lambda t: t.withColumn("doc_id", F.col("doc_id") + 1000)),
+    "start": ("recipes", lambda t: t.withColumn("start", F.col("start") + 1)),
+    "n_tokens": ("recipes", lambda t: t.withColumn("n_tokens", F.col("n_tokens") + 1)),
+    "order of chunks": ("recipes", lambda t: t.withColumn("digests", F.reverse("digests"))),
+    "recipe gone": ("recipes", lambda t: t.where("doc_id <> 7")),
+    "shard gone": ("recipes", lambda t: t.where("shard <> 1")),
+    "first_start": ("manifest", lambda t: t.withColumn("first_start", F.col("first_start") + 1)),
+    "root": ("manifest", lambda t: t.withColumn("root", F.reverse("root"))),
+    "node gone": ("manifest", lambda t: t.where("level > 0 or node <> 1")),
+    "top gone": ("manifest", lambda t: t.where("level = 0")),
+}
+
+
+def test_token_store_tampering(docs, spark):
+    texts = ["one two three four " * (i % 7 * 40 + 1) + str(i) for i in range(40)]
+    path = token_store.write_store(docs(texts), definition("word_bpe_49k.json"), 1, shard_docs=10)
+    tables = ("chunks", "recipes", "manifest")
+    for i, (name, (table, change)) in enumerate(TAMPERINGS.items()):
+        for t in tables:
+            whole = spark.read.parquet(f"{path}/{t}")
+            (change(whole) if t == table else whole).write.parquet(f"{path}-{i}/{t}")
+        for read in (token_store.read_back, token_store.read_ids):
+            with pytest.raises(Exception, match="damaged|differ"):
+                read(spark, f"{path}-{i}").collect()
+                pytest.fail(name)
+    # A shard that is gone from recipes and manifest alike is missed by the node above it.
+    spark.read.parquet(f"{path}/chunks").write.parquet(f"{path}-x/chunks")
+    spark.read.parquet(f"{path}/recipes").where("shard <> 1").write.parquet(f"{path}-x/recipes")
+    spark.read.parquet(f"{path}/manifest").where("level > 0 or node <> 1").write.parquet(f"{path}-x/manifest")
+    with pytest.raises(Exception, match="differ"):
+        token_store.read_back(spark, f"{path}-x").collect()
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="another kind"):
+        token_store.PieceEncoder(definition("byte_bpe_50k.json"))
 
 
 def test_token_store_edges(docs, spark):
@@ -152,6 +192,62 @@ def test_secrets(docs, odd):
     assert secrets.secret_spans(frame.limit(0)).count() == 0
 
 
+def brute_base(text):
+    """Base spans by the contract's patterns, read character by character."""
+    import string
+
+    out = []
+    word = set(string.ascii_letters + string.digits + "+/_.=-")
+    i = 0
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    while i < len(text):
+        low = [c.lower() if c in string.ascii_uppercase else c for c in text[i : i + 8]]
+        for name in names:
+            if "".join(low[: len(name)]) != name:
+                continue
+            j = i + len(name)
+            j += text[j : j + 1] in ("'", '"')
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "="):
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"')
+            k = j
+            while k < len(text) and text[k] in word:
+                k += 1
+            if k > j:
+                if k - j >= 8:
+                    out.append((i, 0, k))
+                i = k - 1
+                break
+        i += 1
+    for kind, first, chars, least in ((1, "AKIA", set(string.ascii_uppercase + string.digits), 16), (2, "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            if text.startswith(first, i):
+                k = i + len(first)
+                while k < len(text) and text[k] in chars:
+                    k += 1
+                if k > i + len(first):
+                    if k - i >= least:
+                        out.append((i, kind, k))
+                    i = k - 1
+            i += 1
+    return sorted(out)
+
+
+def test_base_spans_by_brute_force():
+    random.seed(3)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apiKEY", "API-KEY", "=", ":", " ", "  ", "'", '"', "hunter22", "x" * 7, "Ab1+/_.=-", "AKIA", "AKIAB12", "Z9" * 8, "deadbeef", "0a" * 16, "é", "\n", "\u0130", "\u212a"]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 14))) for _ in range(6000)] + ["token=" + "a" * 200_000, "AKIA" * 40_000]
+    for t in texts:
+        assert [x for x in secrets.scan(t) if x[1] < 3] == brute_base(t), t[:200]
+    assert sum(bool(brute_base(t)) for t in texts) > 500
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -161,6 +257,44 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_decoding():
+    """Loss-weighted decoding by its definition: each bit's logistic loss, weighted by the bit's trust; the least sum wins."""
+    import math
+
+    rng = np.random.default_rng(8)
+    codes = language_id.codewords(4, 15)
+    trust = rng.uniform(0.05, 1, 15)
+    model = language_id.LanguageModel(list("abcd"), codes, np.zeros((language_id.DIMS, 15)), np.zeros(15), trust)
+    margins = rng.normal(0, 2, (300, 15))
+    margins[:4] = codes * 9.0  # the codewords themselves
+    best, score, close = model.decide(margins)
+    assert best[:4].tolist() == [0, 1, 2, 3] and not close[:4].any() and (score[:4] > 0.99).all()
+    for m, b, s, c in zip(margins.tolist(), best.tolist(), score.tolist(), close.tolist()):
+        loss = [sum(t * math.log1p(math.exp(-x * y)) for t, x, y in zip(trust, m, code)) for code in codes.tolist()]
+        share = [math.exp(min(loss) - v) for v in loss]
+        share = sorted((v / sum(share) for v in share), reverse=True)
+        assert loss[b] == pytest.approx(min(loss)) and s == pytest.approx(share[0]) and c == (share[0] - share[1] < 0.2)
+    assert close.any() and not close.all()
+
+
+def test_language_margins(docs):
+    """Margins by their definition: mean weights of a text's n-grams of each order, and the bias."""
+    rng = np.random.default_rng(5)
+    codes = language_id.codewords(3, 13)
+    model = language_id.LanguageModel(["x", "y", "z"], codes, rng.normal(0, 3, (language_id.DIMS, 13)), rng.normal(0, 1, 13), np.ones(13))
+    texts = ["a", "ab", "abc d", "Der Hund, 12", "é ü 中文 🙂\nx", "the " * 70_000, *noise(40)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in model.predict(docs(texts)).select("doc_id", "lang_pred", F.col("score").cast("double").alias("score")).collect()}
+    for i, t in enumerate(texts):
+        if not re.search(r"[^\W\d_]", t):
+            assert got[i] == ("und", 0.0)
+            continue
+        margin = model.bias.copy()
+        for ids, (n, _) in zip(language_id.gram_ids(np.frombuffer(t.encode(), np.uint8)), language_id.ORDERS):
+            margin += sum((model.weights[k] for k in ids.tolist()), np.zeros(13)) / max(1, len(t.encode()) - n + 1)
+        best, score, _ = model.decide(margin[None])
+        assert got[i][0] == model.languages[best[0]] and got[i][1] == pytest.approx(score[0], abs=1e-6)
+
+
 def test_language_edges(docs, odd):
     texts = odd + ["the cat and the dog " * 5, "der hund und die katze " * 5, "12 34 !!", "the " * 200_000]
     frame = docs(texts, lang=[None] * len(odd) + ["en", "de", "en", None])
@@ -174,6 +308,15 @@ def test_language_edges(docs, odd):
     assert none.select("lang_pred").distinct().collect()[0][0] == "und" and language_id.identified(frame.limit(0), model).count() == 0
 
 
+def test_language_columns_are_replaced(docs):
+    frame = docs(["the cat", None]).withColumn("lang_pred", F.lit("old"))
+    model = language_id.LanguageModel(["en"], language_id.codewords(1, 9), np.zeros((language_id.DIMS, 9)), np.zeros(9), np.ones(9))
+    for m in (None, model):
+        out = language_id.identified(frame, m)
+        assert sorted(out.columns) == sorted([*(c for c in frame.columns if c not in ("score", "lang_pred")), "lang_pred", "score", "ambiguous"])
+        assert {r["lang_pred"] for r in out.collect()} <= {"und", "en"}
+
+
 def test_codewords_are_far_apart():
     for n in (1, 2, 4, 30):
         c = language_id.codewords(n, max(8, min(31, 2 * n + 7)))
