@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cordon.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
 from cordon.llm.queries import definition
-from cordon.llm.store import fresh, written
+from cordon.llm.store import fresh, numbered, scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document that names it; of several rows with its doc_id, all that are in it by themselves."""
-    found = jaccard_join.near_components(docs, n=5, percent=80)
-    gone = written(found.where("not (_key <=> component_id)").select(F.col("_key").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Keeps of each component the row with the smallest doc_id (null last; of equal ones, the first read); rows are told apart by their place, not by doc_id."""
+    rows, row = numbered(docs)
+    with scratch(spark):
+        mark = fresh(rows, "_order")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+        found = jaccard_join.near_components(rows.withColumn(mark, order), n=5, percent=80, key=mark)
+        gone = written(found.where("_key <> component_id").select(F.col("_key.row").alias("_gone")), "near-copies", outer=True)
+    return rows.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
     return docs
