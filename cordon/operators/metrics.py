@@ -118,9 +118,15 @@ def throughput(rows: int, seconds: float) -> float:
 
 
 def first_seen_groups(rows: DataFrame, order: str, *keys: str) -> DataFrame:
-    """Groups in the order of their first rows: keys, first, members (in order)."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.struct(order, *(c for c in rest if c != order)))).alias("members")).orderBy("first")
+    """rows with `first`, the least order of their group, sorted so that groups come in the order of their first rows."""
+    least = rows.groupBy(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys))).agg(F.min(order).alias("first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    return rows.join(least, same).select(*rows.columns, "first").orderBy("first", *keys, order)
+
+
+def unknown_expected(expected: DataFrame, known: DataFrame) -> DataFrame:
+    """qid, id: expected ids that the corpus lacks; none, if a question set is sound."""
+    return expected.select("qid", "id").distinct().join(known.select("id"), "id", "left_anti").select("qid", "id")
 
 
 def recall_recovers(probes: DataFrame, returned: str = "rows_returned", used_index: str = "used_index") -> DataFrame:

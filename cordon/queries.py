@@ -6,12 +6,17 @@ the stages of queries. Counts are bigint, doubles are rounded to six places, ids
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_sql, tenancy
+from . import chunk_sql, schema, tenancy
 from .functions import analyzer, scalar
 from .operators import backfill, chunking, fusion, ingest, metrics, textsearch, vector
+from .snapshot import Store
 from .sources import embedding, files, synthetic
 
 QUERIES: dict = {}
@@ -352,8 +357,8 @@ def query_cost(spark, d):
 
 @query("SELECT l_returnflag AS m, l_linestatus AS ef, min(l_orderkey) AS first, count(*) AS n FROM lineitem GROUP BY ALL")
 def grid_groups(spark, d):
-    rows = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("m"), F.col("l_linestatus").alias("ef"), "l_orderkey").agg(F.count("*").alias("c"))
-    return rows.groupBy("m", "ef").agg(F.min("l_orderkey").alias("first"), F.sum("c").alias("n")).orderBy("first")
+    rows = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("m"), F.col("l_linestatus").alias("ef"), "l_orderkey")
+    return metrics.first_seen_groups(rows, "l_orderkey", "m", "ef").groupBy("m", "ef", "first").agg(F.count("*").alias("n")).orderBy("first")
 
 
 # tables and their changes
@@ -395,22 +400,108 @@ def model_mismatches(spark, d):
 
 @query("SELECT count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS referenced, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS orphans FROM customer")
 def foreign_keys(spark, d):
-    c, o = _t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    has = c.join(o, "c_custkey", "left_semi").agg(F.count("*").alias("referenced"))
-    return has.join(c.join(o, "c_custkey", "left_anti").agg(F.count("*").alias("orphans")), how="cross")
+    c, o = _t(spark, d, "customer").select(F.col("c_custkey").alias("document_id")), _t(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    missing = schema.orphans(c, o).agg(F.count("*").alias("orphans"))
+    return missing.join(c.agg(F.count("*").alias("_n")), how="cross").select((F.col("_n") - F.col("orphans")).alias("referenced"), "orphans")
 
 
-@query("SELECT count(*) AS lines_left, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 4 = 0)")
-def cascade_survivors(spark, d):
-    gone = _t(spark, d, "orders").where("o_custkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return _t(spark, d, "lineitem").join(gone, "l_orderkey", "left_anti").agg(F.count("*").alias("lines_left"), F.sum("l_quantity").cast("double").alias("quantity"))
+@query("SELECT item_id AS qid, 'doc' || (item_id * 37) AS id FROM benchmark WHERE item_id * 37 NOT IN (SELECT doc_id FROM documents)")
+def golden_integrity(spark, d):
+    expected = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("doc"), (F.col("item_id") * 37).cast("string")).alias("id"))
+    return metrics.unknown_expected(expected, _t(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id")))
+
+
+@query("SELECT doc_id, upper(source) AS slug FROM documents")
+def tenant_slugs(spark, d):
+    docs = _t(spark, d, "documents")
+    slugs = docs.select(F.col("source").alias("tenant_id"), F.upper("source").alias("slug")).distinct()
+    return tenancy.with_slug(docs.select("doc_id", F.col("source").alias("tenant_id")), slugs).select("doc_id", "slug")
+
+
+# the store: documents of two tenants, even and odd, chunked by windows of characters
+
+_DIM = 8
+_TENANT = "CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END"
+_WINDOWS = f"w AS (SELECT {_TENANT} AS tenant_id, doc_id, i, substring(text, i * 512 + 1, 512) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 511) // 512))) AS i FROM documents))"
+
+
+def _filled_store(spark, d) -> tuple[Store, Callable[..., None]]:
+    """A store below the shared folder with the documents loaded, and a function that ingests a tenant's."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    store = Store(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    texts = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "source")
+    tenant = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
+    store.load("documents", texts.select("id", tenant.alias("tenant_id"), F.col("source").alias("title"), F.lit("").alias("storage_key"), F.lit("text/plain").alias("content_type")))
+
+    def add(tenant: str, ids: list[str] | None = None, word: str = "") -> ingest.IngestResult:
+        def chunk(docs: DataFrame) -> DataFrame:
+            rows = chunking.char_chunks(docs.join(texts.select("id", "text"), "id").select("id", "text"))
+            return rows.withColumns({"content": F.concat(F.lit(word), "content"), "page_from": F.lit(None).cast("int"), "page_to": F.lit(None).cast("int"), "token_count": F.lit(1)})
+
+        return ingest.ingest(store, tenant, ids, chunk, lambda rows: embedding.embed(rows, embedding.HashProvider(_DIM), "m1", _DIM), _DIM)
+
+    return store, add
+
+
+def _contents(chunks: DataFrame) -> DataFrame:
+    return chunks.select("tenant_id", F.col("document_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {_WINDOWS} SELECT tenant_id, doc_id, i AS chunk_index, md5(CASE WHEN doc_id % 20 = 0 THEN 'new ' ELSE '' END || content) AS content_md5 FROM w")
+def store_ingest(spark, d):
+    """Both tenants' documents, then some of the first tenant's anew."""
+    store, add = _filled_store(spark, d)
+    add("even")
+    add("odd")
+    again = [r[0] for r in store.read("documents", tenant="even").where("cast(id as long) % 20 = 0").select("id").collect()]  # what is asked for
+    add("even", again, "new ")
+    return _contents(store.read("chunks"))
+
+
+@query(f"WITH {_WINDOWS} SELECT tenant_id, doc_id, i AS chunk_index, md5(content) AS content_md5 FROM w WHERE tenant_id = 'even' AND doc_id % 14 <> 0 AND doc_id <> 2")
+def store_deletion(spark, d):
+    """Documents deleted with their chunks, one document's chunks deleted by its tenant, the other tenant offboarded."""
+    store, add = _filled_store(spark, d)
+    add("even")
+    add("odd")
+    ingest.delete_documents(store, [r[0] for r in store.read("documents").where("cast(id as long) % 14 = 0").select("id").collect()])
+    ingest.delete_document_chunks(store, "even", "2")
+    ingest.delete_document_chunks(store, "even", "1")  # not this tenant's
+    ingest.offboard_tenant(store, "odd")
+    return _contents(store.read("chunks"))
+
+
+@query(f"WITH {_WINDOWS} SELECT tenant_id, CASE tenant_id WHEN 'even' THEN 'm2' ELSE 'm1' END AS embed_model, count(*) AS chunks, count(*) AS done, 'complete' AS status FROM w GROUP BY tenant_id")
+def store_backfill(spark, d):
+    """Second vectors for both tenants to the end; both are flipped and one is rolled back; then all active vectors."""
+    store, add = _filled_store(spark, d)
+    for tenant in ("even", "odd"):
+        add(tenant)
+    batch = max(100, store.read("chunks").count() // 4)
+    backfill.run_backfill(store, ["even", "odd"], embedding.HashProvider(_DIM), "m2", _DIM, batch)
+    for tenant in ("even", "odd"):
+        backfill.flip_to_v2(store, tenant)
+    backfill.rollback_to_v1(store, "odd")
+    active = backfill.active_embeddings(store.read("chunks"), store.read("cutover")).groupBy("tenant_id", "embed_model").agg(F.count("*").alias("chunks"))
+    return active.join(store.read("progress"), "tenant_id").select("tenant_id", "embed_model", "chunks", F.col("chunks_done").cast("long").alias("done"), "status")
+
+
+@query("SELECT * FROM (VALUES ('0001_load', 1), ('0002_drop', 2)) t(filename, number) CROSS JOIN (SELECT count(*) AS documents FROM documents WHERE doc_id % 2 = 1)")
+def store_migrations(spark, d):
+    """Two steps, applied once each: one adds nothing, one drops a tenant; then nothing is left to do."""
+    store, _ = _filled_store(spark, d)
+    steps = {"0002_drop": lambda s: {"documents": {"even": None}}, "0001_load": lambda s: None}
+    names = store.migrate(steps, ("documents", "chunks"))
+    if names != ["0001_load", "0002_drop"] or store.migrate(steps):
+        raise AssertionError(names)
+    rows = store.ledger().select("filename", F.substring("filename", 1, 4).cast("int").alias("number"))
+    return rows.join(store.read("documents").agg(F.count("*").alias("documents")), how="cross")
 
 
-@query("SELECT doc_id AS document_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS content FROM documents UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 10 = 0")
-def atomic_replace(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
-    new = docs.where("document_id % 10 = 0").select("document_id", F.explode(F.array(F.lit("new"), F.lit("new"))).alias("content"))
-    return docs.withColumn("content", F.lit("old")).join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
+@query("SELECT count(*) AS lines_left, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 4 = 0)")
+def cascade_survivors(spark, d):
+    gone = _t(spark, d, "orders").where("o_custkey % 4 = 0").select("o_orderkey")
+    return ingest.cascade(_t(spark, d, "lineitem"), gone, "l_orderkey", "o_orderkey").agg(F.count("*").alias("lines_left"), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
 # beyond the reference: what it only announces
