@@ -47,7 +47,8 @@ def strategy_scores(texts: DataFrame, questions: DataFrame, expected: DataFrame,
     from . import textsearch
 
     kinds = texts.select("strategy").distinct()
-    index = textsearch.inverted_index(texts.withColumn("_id", F.struct("document", "chunk_index")), "_id", text_terms, "strategy")
+    only = questions.select(F.explode(question_terms).alias("term"))
+    index = textsearch.inverted_index(texts.withColumn("_id", F.struct("document", "chunk_index")), "_id", text_terms, "strategy", only)
     asked = questions.crossJoin(F.broadcast(kinds)).withColumn("_q", F.struct("strategy", "id"))  # a few strategies
     ranked = textsearch.ranked(textsearch.search(index, asked, question_terms, "_q", "strategy"))
     want = expected.crossJoin(F.broadcast(kinds)).select(F.struct("strategy", F.col("qid").alias("id")).alias("qid"), "id")

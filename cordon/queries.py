@@ -248,8 +248,14 @@ _ASKED = f"q AS (SELECT item_id AS qid, len(list_distinct({_TERMS.format('text')
 _SCORES = f"{_INDEX}, {_ASKED}, s AS (SELECT qid, doc_id AS id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685 / n), 6) AS score FROM q JOIN i USING (term) GROUP BY ALL)"
 
 
+def _asked_terms(spark, d, terms: Column) -> DataFrame:
+    return _questions(spark, d).select(F.explode(terms).alias("term"))
+
+
 def _index(spark, d) -> DataFrame:
-    return textsearch.inverted_index(_t(spark, d, "documents"), "doc_id", analyzer.plain_terms(F.col("text")))
+    """Postings of the terms that any question asks for."""
+    terms = analyzer.plain_terms(F.col("text"))
+    return textsearch.inverted_index(_t(spark, d, "documents"), "doc_id", terms, only=_asked_terms(spark, d, terms))
 
 
 def _questions(spark, d) -> DataFrame:
@@ -272,7 +278,7 @@ def text_rank_top5(spark, d):
 
 @query()
 def text_rank_stemmed(spark, d):
-    index = textsearch.inverted_index(_t(spark, d, "documents"), "doc_id", analyzer.english_terms("text"))
+    index = textsearch.inverted_index(_t(spark, d, "documents"), "doc_id", analyzer.english_terms("text"), only=_asked_terms(spark, d, analyzer.query_terms("text")))
     return textsearch.ranked(textsearch.search(index, _questions(spark, d), analyzer.query_terms("text")), 5)
 
 

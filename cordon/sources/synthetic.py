@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import chunk_id, random_vector
 
-#: Documents of each tenant by category.
+#: Documents of each tenant by category.
 SHAPE = {
     "acme": {"contracts": 8, "rate_sheets": 12, "sops": 9, "shipments": 13},
     "globex": {"contracts": 7, "rate_sheets": 11, "sops": 8, "shipments": 12},
