@@ -75,7 +75,7 @@ class PieceEncoder:
     more than that go to the library as they are. `most` bounds what is remembered.
     """
 
-    def __init__(self, definition: str, most: int = 250_000):
+    def __init__(self, definition: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,7 +184,7 @@ def _encoder(definition: str, end_id: int, parts: int):
         tag = TaskContext.get().partitionId() << 40
         sent: set[bytes] = set()
         for batch in batches:
-            for part, _, _ in pieces(batch, "_text", 16 << 20):
+            for part, _, _ in pieces(batch, "_text", 6 << 20):
                 ids, ends = coder.encode(pc.fill_null(part.column("_text"), ""))
                 ids = np.insert(ids, ends[1:], end_id)  # the end id after each document
                 ends = ends + np.arange(len(ends))
