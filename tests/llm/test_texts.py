@@ -106,7 +106,9 @@ TAMPERINGS = {
 
 
 def test_token_store_tampering(docs, spark):
-    texts = ["one two three four " * (i % 7 * 40 + 1) + str(i) for i in range(40)]
+    random.seed(4)
+    words = "alpha beta gamma delta one two three four five 12 345 . , the of and".split()
+    texts = [" ".join(random.choices(words, k=i % 7 * 200 + 1)) for i in range(40)]
     path = token_store.write_store(docs(texts), definition("word_bpe_49k.json"), 1, shard_docs=10)
     tables = ("chunks", "recipes", "manifest")
     for i, (name, (table, change)) in enumerate(TAMPERINGS.items()):
