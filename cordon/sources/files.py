@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,19 +11,26 @@ from pyspark.sql import types as T
 from ..schema import GOLDEN
 
 
+def _texts(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """_file, text of each file; empty ones, which Spark lists but doesn't read, have an empty text."""
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    read = files.select(plain("path").alias("_file"), F.decode("content", "UTF-8").alias("text"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "f string").select(plain("f").alias("_file"))
+    return read.unionByName(listed.join(files.select(plain("path").alias("_file")), "_file", "left_anti").withColumn("text", F.lit("")))
+
+
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     """relpath, tenant, category, stem, text of `<root>/<tenant>/<category>/<file>.txt`, each file whole."""
-    files = spark.read.text(f"{root.rstrip('/')}/*/*/*.txt", wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("file"))
-    parts = F.slice(F.split("file", "/"), -3, 3)
-    out = files.select(F.array_join(parts, "/").alias("relpath"), parts[0].alias("tenant"), parts[1].alias("category"), F.regexp_replace(parts[2], r"\.txt$", "").alias("stem"), "text")
-    return out.withColumn("relpath", F.url_decode("relpath")).withColumn("stem", F.url_decode("stem"))
+    parts = F.slice(F.split("_file", "/"), -3, 3)
+    out = _texts(spark, f"{root.rstrip('/')}/*/*/*.txt")
+    return out.select(F.array_join(parts, "/").alias("relpath"), parts[0].alias("tenant"), parts[1].alias("category"), F.regexp_replace(parts[2], r"\.txt$", "").alias("stem"), "text")
 
 
 def document_text(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """Adds text to rows by storage_key, a path below root unless it is absolute; files that aren't there leave it null."""
     full = F.when(F.col("storage_key").startswith("/"), F.col("storage_key")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("storage_key")))
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.regexp_replace(F.url_decode(F.input_file_name()), "^file:/+", "/").alias("_file"))
-    return keys.withColumn("_full", full).join(files, F.col("_full") == F.col("_file"), "left").drop("_full", "_file")
+    return keys.withColumn("_full", full).join(_texts(spark, root, recursiveFileLookup=True), F.col("_full") == F.col("_file"), "left").drop("_full", "_file")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str = GOLDEN) -> DataFrame:
