@@ -16,7 +16,8 @@ fragment by fragment (here a fixed number of them, so that rows stay small), the
 summed, and the exact comparison of integers decides. Equal sets are one node from the start, so copies
 are never paired.
 
-A Bloom filter of keys that occur twice keeps single keys out of the shuffle.
+A Bloom filter of keys that occur twice keeps single keys out of the shuffle. Texts are cut into n-grams twice: for
+that filter, and for documents and keys; after that only those whose sets must be compared, one text a set.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null doc_id
 comes last when the smallest of a component is taken. Texts with fewer words than n have one n-gram,

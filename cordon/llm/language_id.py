@@ -6,8 +6,8 @@ weighted by how reliable its classifier was in training; the score is the share
 codeword when losses are taken as logarithms, and a small lead over the next one marks the text as
 ambiguous.
 
-Training takes a bounded sample: the `per_language` labelled rows (default 300) with the least key
-hash of each language. Predictions read the whole text and nothing else. A null text, or one without a
+Training takes a bounded sample: of each language the `per_language` labelled rows (default 300) with
+the least hash of key and text; hashes alone are ranked, and of equal rows one trains. Predictions read the whole text and nothing else. A null text, or one without a
 letter, is `und` with score 0; with no labelled rows every text is. Null labels do not train. Empty
 tables give empty results; repeated rows are predicted alike.
 """
