@@ -198,27 +198,58 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return written(linked.select("a", "b"), "links")
 
 
+#: Frequencies from which an n-gram is in the next class; in the first class are those that occur once.
+CLASSES = (2, 4, 8, 16, 64, 256, 1024, 4096)
+
+
+def _in_class(g: np.ndarray, k: int) -> np.ndarray:
+    """A hash of n-grams together with a class."""
+    return mix(g + np.uint64(0x9FB21C651E98DF25 * k % (1 << 64)), 7)
+
+
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("s").to_pylist()]
-        counts = [len(x) for x in sets]
-        node = np.repeat(batch.column("node").to_numpy(), counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else node), pa.array(node)], ["g", "node"])
+        g, c = np.unique(np.frombuffer(b"".join(batch.column("s").to_pylist()), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c, pa.int64())], ["g", "c"])
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        g, c = (batch.column(x).to_numpy() for x in ("g", "c"))
+        k = np.searchsorted(CLASSES, c, "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_in_class(g[k >= i].view(np.uint64), i) for i in range(1, len(CLASSES) + 1)]).view(np.int64))], ["h"])
+
+
+def _rarest(percent: int, bits):
+    """Of each set, in the order of classes and hashes, as many n-grams as a link needs one of, with their places; those that occur once are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for node, parts in zip(batch.column("node").to_pylist(), batch.column("x").to_pylist()):
+                g = np.frombuffer(b"".join(parts), np.uint64)
+                k = np.zeros(len(g), np.int64)
+                for i in range(1, len(CLASSES) + 1):
+                    k += holds(bits.value, _in_class(g, i))
+                order = np.lexsort((g, k))[: len(g) - -(-len(g) * percent // 100) + 1]
+                at = np.flatnonzero(k[order] > 0)
+                out.append((g[order[at]].view(np.int64), np.full(len(at), node), np.full(len(at), len(g)), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["g", "node", "n", "at"])
+
+    return run
 
 
 def _prefixes(parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(g, node, n, at): the rarest n-grams of each set that another has too, as many as a link needs one of, with their places.
+    """(g, node, n, at): the rarest n-grams of each set, as many as a link needs one of, with their places.
 
-    Rare means rare among these sets; n-grams as frequent are ordered by hash.
+    Rare means rare among these sets. Any order that all sets have in common will do, so it is one of classes of
+    frequency, which a Bloom filter of bounded size holds, and n-grams themselves never meet their counts in a join.
     """
-    grams_ = written(parts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_grams_of, "g long, node long"), "grams")
-    sizes = grams_.groupBy("g").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("df", F.col("size"))
-    ranked = spread_join(grams_, sizes, "g", grams_.count()).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
-    n = F.size("x").cast("long")
-    need = F.ceil(n * percent / F.lit(100)).cast("long")
-    out = ranked.select("node", n.alias("n"), F.posexplode(F.slice("x", F.lit(1), (n - need + 1).cast("int"))).alias("at", "y"))
-    return written(out.where("y.df > 1").select(F.col("y.g").alias("g"), "node", "n", "at"), "prefixes")
+    own = parts.join(nodes.select("node"), "node", "left_semi")
+    counts = own.select("s").mapInArrow(_grams_of, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= CLASSES[0])
+    bits = bloom(counts.mapInArrow(_classed, "h long"), "h")
+    sets = own.groupBy("node").agg(F.collect_list("s").alias("x"))  # a row for each fragment, of which there are a fixed number
+    return written(sets.mapInArrow(_rarest(percent, bits), "g long, node long, n long, at long"), "prefixes")
 
 
 def _can(percent: int, a: str, b: str):

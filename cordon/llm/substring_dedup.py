@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom, holds
 from .fm_index import FmIndex
-from .store import spread_join, written
+from .store import written
 from .textops import Words, grams, mix, pieces, powers, sliding_min
 
 GRAM = 12
@@ -193,9 +193,9 @@ def _search(window: int, shard_words: int):
             hit = np.flatnonzero(f >= 2)
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > window)  # intervals of words, joined where they meet
-                out.append((r[0], r[1], r[2], hit[np.concatenate([[0], cut + 1])].tolist(), (hit[np.concatenate([cut, [len(hit) - 1]])] + window).tolist()))
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["k1", "k2", "size", "starts", "ends"])
+                out.append((r[0], r[1], hit[np.concatenate([[0], cut + 1])].tolist(), (hit[np.concatenate([cut, [len(hit) - 1]])] + window).tolist()))
+        cols = list(zip(*out)) if out else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["k1", "k2", "starts", "ends"])
 
     return run
 
@@ -222,7 +222,7 @@ def _removed(digests: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", digests: bool = False, shard_words: int = 400_000, split_above: int = 1024) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", digests: bool = False, shard_words: int = 400_000, split_above: int = 4096) -> DataFrame:
     """One row per document: _key, n_words, n_removed, kept (the words left, joined by one space; with digests, their SHA-256)."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
@@ -230,7 +230,7 @@ def without_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     bits = bloom(anchors.where("n > 1"), "h")
     found = rows.select("_text").mapInArrow(_segments(window, bits), "k1 long, k2 long, h long, n long, text binary")
     distinct = written(found.groupBy("k1", "k2").agg(F.first("h").alias("h"), F.sum("n").alias("n"), F.first("text").alias("text")), "segments")
-    form = "k1 long, k2 long, size long, starts array<int>, ends array<int>"
+    form = "k1 long, k2 long, starts array<int>, ends array<int>"
 
     def searched(rows: DataFrame, route: str) -> DataFrame:
         dealt = rows.select("k1", "k2", F.col(route).alias("route"), "n", "text").repartition("route").sortWithinPartitions("route")
@@ -244,14 +244,12 @@ def without_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text
         split = written(distinct.join(many, "h", "left_semi").select("k1", "k2", "n", "text").mapInArrow(_windows(window), "k1 long, k2 long, at int, w1 long, w2 long, n long, text binary"), "windows")
         one = split.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.first("text").alias("text")).select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "n", "text")
         hit = searched(one, "k1").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"))
-        spans = split.select("k1", "k2", "n", "at", "w1", "w2").join(hit, ["w1", "w2"]).groupBy("k1", "k2").agg(F.first("n").alias("size"), F.collect_list("at").alias("starts"))
+        spans = split.select("k1", "k2", "at", "w1", "w2").join(hit, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
         verdicts = searched(distinct.join(many, "h", "left_anti"), "h").unionByName(spans.withColumn("ends", F.transform("starts", lambda x: x + window)))
     verdicts = written(verdicts, "verdicts")
     places = rows.mapInArrow(_places(window, bits), f"k1 long, k2 long, _key {kind}, x long, first int")
-    # A segment that very many documents have does not meet them in one task.
-    both = F.struct("k1", "k2").alias("k")
-    total = verdicts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    met = spread_join(places.select(both, "_key", "x", "first"), verdicts.select(both, "size", "starts", "ends"), "k", total)
+    # Both sides are plain shuffles, so Spark splits a segment that very many documents have.
+    met = places.join(verdicts, ["k1", "k2"])
     spans = met.select("_key", "x", F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct((s["starts"] + F.col("first")).alias("a"), (s["ends"] + F.col("first")).alias("b"))).alias("s"))
     spans = spans.groupBy(F.col("_key").alias("_k"), F.col("x").alias("_x")).agg(F.flatten(F.collect_set("s")).alias("spans"))
     whole = rows.mapInArrow(_docs(window, bits, digests), f"_key {kind}, x long, n_words long, kept string, text binary")
