@@ -41,10 +41,10 @@ class Vectors:
         self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # length: rows, vectors, norms
         for n in np.unique(sizes[whole]).tolist():
             rows = np.flatnonzero(whole & (sizes == n))
-            x = values.reshape(-1, n)[rows] if len(rows) == len(sizes) else values[(ends - sizes)[rows][:, None] + np.arange(n)]
-            norm = np.sqrt((x * x).sum(1))
+            x = values.reshape(-1, n) if len(rows) == len(sizes) else values[(ends - sizes)[rows][:, None] + np.arange(n)]
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             some = norm != 0
-            self.of[n] = rows[some], x[some], norm[some]
+            self.of[n] = (rows, x, norm) if some.all() else (rows[some], x[some], norm[some])
 
 
 def nearest(rows: Vectors, n_rows: int, queries: Vectors, n_queries: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
