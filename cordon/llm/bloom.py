@@ -11,6 +11,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import shuffles_removed
+
 BLOCK = 15  # log2 of the bits of one bitmap of Spark's
 
 
@@ -21,7 +23,9 @@ def bloom(hashes: DataFrame, column: str, log2_bits: int = 27) -> Broadcast:
     places = F.array(F.shiftrightunsigned(h, 64 - log2_bits), h.bitwiseAND(F.lit(size - 1)))
     bits = hashes.select(F.explode(places).alias("p")).select(F.shiftrightunsigned("p", BLOCK).alias("b"), F.col("p").bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("p"))
     out = np.zeros(size >> 3, np.uint8)
-    for r in bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():  # 4 KB each, 2**log2_bits bits in all
+    with shuffles_removed(spark):
+        rows = bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()  # 4 KB each, 2**log2_bits bits in all
+    for r in rows:
         out[r["b"] << (BLOCK - 3) : (r["b"] + 1) << (BLOCK - 3)] = np.frombuffer(r["m"], np.uint8)
     return spark.sparkContext.broadcast(out)
 

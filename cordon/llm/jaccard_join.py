@@ -188,14 +188,14 @@ def _sets(rows: DataFrame, sized: DataFrame, nodes: DataFrame, n: int) -> DataFr
     return written(found.groupBy("node", "f").agg(F.first("s").alias("s")), "fragments")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int, outer: bool = False) -> DataFrame:
     """Of pairs (a, na, b, nb), those that link: overlaps are counted fragment by fragment and summed."""
     left = parts.select(F.col("node").alias("a"), "f", "s")
     right = parts.select(F.col("node").alias("b"), "f", F.col("s").alias("t"))
     both = pairs.select("a", "b").join(left, "a").join(right, ["b", "f"])
     sums = both.select("a", "b", "s", "t").mapInArrow(_overlaps, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("common"))
     linked = pairs.join(sums, ["a", "b"]).where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
-    return written(linked.select("a", "b"), "links")
+    return written(linked.select("a", "b"), "links", outer)
 
 
 #: Frequencies from which an n-gram is in the next class; in the first class are those that occur once.
@@ -268,21 +268,24 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
     """One row per document: _key, n_shingles, component_id, the smallest key reachable by links."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
     kind = rows.schema["_key"].dataType.simpleString()
-    with scratch(docs.sparkSession):
+    spark = docs.sparkSession
+    with scratch(spark):
         bits = bloom(rows.select("_text").mapInArrow(_all_keys(n, percent), "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "h")
         form = f"_key {kind}, _hash long, n long, node long, h long, side int, need int"
         both = written(rows.mapInArrow(_documents_and_keys(n, percent, bits), form), "shingle-sets", outer=True)
         sized, keyed = both.where("h is null").select("_key", "_hash", "n", "node"), both.where("h is not null").select("h", "node", "n", "side", "need")
-        keyed = written(keyed.groupBy("h", "node").agg(*(F.first(c).alias(c) for c in ("n", "side", "need"))), "keys")
-        for _ in range(2):  # each time fewer sets are left to meet
+        with scratch(spark):
+            keyed = written(keyed.groupBy("h", "node").agg(*(F.first(c).alias(c) for c in ("n", "side", "need"))), "keys")
             keyed = written(_meeting(keyed, "node"), "keys")
+            keyed = written(_meeting(keyed, "node"), "keys", outer=True)  # each time fewer sets are left to meet
         least = keyed.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("q")).where("p.node <> q").select("h", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
         fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
         stars = keyed.join(least, "h").where((F.col("node") != F.col("p")) & fits("n", "np"))
         stars = stars.groupBy("node", "n", "p", "np").agg(F.count("*").alias("m"))
         best = stars.groupBy("node", "n").agg(F.max(F.struct("m", "p", "np")).alias("x"))
         first = written(best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x.p").alias("b"), F.col("x.np").alias("nb")), "pairs")
-        links = _verified(first, _sets(rows, sized, first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), n), percent)
+        with scratch(spark):
+            links = _verified(first, _sets(rows, sized, first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), n), percent, outer=True)
         joined = components(links)
         # Buckets that still hold several components: their members may link across these.
         now = keyed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
