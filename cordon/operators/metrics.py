@@ -6,8 +6,11 @@ over questions, not means of means: categories and the total come from one pass
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalar import floor_rank
 from .selection import at_ranks, middle, nearest_rank
@@ -38,22 +41,23 @@ def retrieval_scores(ranked: DataFrame, expected: DataFrame, questions: DataFram
     return out.withColumns(recall | hits | {"mrr": F.coalesce("mrr", F.lit(0.0))}).drop("_want", *(f"_got_{k}" for k in ks))
 
 
-def strategy_scores(texts: DataFrame, questions: DataFrame, expected: DataFrame, text_terms: Column, question_terms: Column) -> DataFrame:
+def strategy_scores(texts: DataFrame, questions: DataFrame, expected: DataFrame, text_terms: Column, question_terms: Column, strategies: Sequence | None = None, near: DataFrame | None = None) -> DataFrame:
     """strategy, n, hit_1, hit_5, mrr: how well each way to index the documents finds the expected ones.
 
-    texts: strategy, document, chunk_index, search_text; questions: id, text; expected: qid, id (a document). All strategies
-    are searched at once, each as a tenant of one index; a chunk counts as its document.
+    texts: strategy, document, chunk_index (these three tell them apart), search_text; questions: id, text; expected: qid, id (a document).
+    All strategies are searched at once; a chunk counts as its document. Strategies are those named, or else those that texts have,
+    for which texts are made once more. near: as texts, those of the expected documents (see textsearch.best_ranks).
     """
     from . import textsearch
 
-    kinds = texts.select("strategy").distinct()
-    only = questions.select(F.explode(question_terms).alias("term"))
-    index = textsearch.inverted_index(texts.withColumn("_id", F.struct("document", "chunk_index")), "_id", text_terms, "strategy", only)
-    asked = questions.crossJoin(F.broadcast(kinds)).withColumn("_q", F.struct("strategy", "id"))  # a few strategies
-    ranked = textsearch.ranked(textsearch.search(index, asked, question_terms, "_q", "strategy"))
-    want = expected.crossJoin(F.broadcast(kinds)).select(F.struct("strategy", F.col("qid").alias("id")).alias("qid"), "id")
-    scores = retrieval_scores(ranked.select("qid", F.col("id.document").alias("id"), "rank"), want, asked.select(F.col("_q").alias("qid"), "strategy"))
-    return scores.groupBy("strategy").agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(c) for c in ("hit_1", "hit_5", "mrr")))
+    kind = StructType([StructField("strategy", texts.schema["strategy"].dataType)])
+    kinds = texts.select("strategy").distinct() if strategies is None else texts.sparkSession.createDataFrame([(s,) for s in strategies], kind)
+    rows = lambda x: x.select(F.col("strategy").alias("tenant"), "document", F.col("chunk_index").alias("part"), textsearch.term_list(x, text_terms).alias("terms"))
+    ranks = textsearch.best_ranks(rows(texts), questions.select(F.col("id").alias("qid"), question_terms.alias("terms")), expected, near if near is None else rows(near))
+    asked = questions.select(F.col("id").alias("qid")).crossJoin(F.broadcast(kinds))  # a few strategies
+    found = asked.join(ranks.withColumnRenamed("tenant", "strategy"), ["strategy", "qid"], "left")
+    hits = {f"hit_{k}": F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double") for k in (1, 5)}
+    return found.groupBy("strategy").agg(F.count("*").alias("n"), *(F.avg(c).alias(name) for name, c in hits.items()), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
 def by_category(scores: DataFrame, category: str, *values: Column) -> DataFrame:

@@ -223,10 +223,23 @@ def search_text_variants(spark, d):
     return out.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.length("search_text")).alias("chars"))
 
 
+def _search_texts(docs: DataFrame) -> DataFrame:
+    """strategy, document, chunk_index, search_text; texts of rows that share a document's id are put together, as in an index by id."""
+    several = docs.groupBy(F.col("document").alias("_d")).agg(F.count("*").alias("_n")).where("_n > 1").select("_d").checkpoint()
+    if several.isEmpty():
+        return chunking.search_texts(docs)
+    same = F.col("document").eqNullSafe(F.col("_d"))
+    once, often = (chunking.search_texts(docs.join(several, same, how)) for how in ("left_anti", "left_semi"))
+    joined = often.groupBy("strategy", "document", "chunk_index").agg(F.array_join(F.collect_list("search_text"), "\n").alias("search_text"))
+    return once.select(*joined.columns).unionByName(joined)
+
+
 @query(chunk_sql.STRATEGY_SCORES)
 def strategy_scores(spark, d):
-    texts = chunking.search_texts(_t(spark, d, "documents").select("doc_id", "text")).select("strategy", F.col("doc_id").alias("document"), "chunk_index", "search_text")
-    out = metrics.strategy_scores(texts, _questions(spark, d), _truth(spark, d), analyzer.plain_terms(F.col("search_text")), analyzer.plain_terms(F.col("text")))
+    docs, truth = _t(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), _truth(spark, d).checkpoint()
+    near = _search_texts(textsearch.of_documents(docs, truth.select("id").distinct()))
+    terms = (analyzer.plain_terms(F.col(c)) for c in ("search_text", "text"))
+    out = metrics.strategy_scores(_search_texts(docs), _questions(spark, d), truth, *terms, chunking.STRATEGIES, near)
     return out.select(F.col("strategy").cast("long").alias("strategy"), "n", *(_r(c).alias(c) for c in ("hit_1", "hit_5", "mrr")))
 
 
@@ -286,9 +299,9 @@ _TRUTH = "w AS (SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN document
 
 
 def _truth(spark, d) -> DataFrame:
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("p"))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("phrase"))
     # The phrases of all questions against all documents.
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(items), F.contains("text", "p")).select("qid", "id").distinct()
+    return textsearch.holding(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items)
 
 
 def _scores(spark, d) -> DataFrame:
